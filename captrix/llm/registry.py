@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from captrix.llm import piece_codec, quality_rules
+from captrix.llm import dac_tokens, piece_codec, quality_rules
 
 QUERIES = {
+    "op8_dac_tokens": dac_tokens.op8,
     "op2_piece_codec": piece_codec.op2,
     "op9_quality_divergence": quality_rules.op9,
 }
