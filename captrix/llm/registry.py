@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from captrix.llm import dac_tokens, piece_codec, quality_rules
+from captrix.llm import dac_tokens, main_text, piece_codec, quality_rules, warc_members
 
 QUERIES = {
+    "op7_warc_members": warc_members.op7,
+    "op10_main_text": main_text.op10,
     "op8_dac_tokens": dac_tokens.op8,
     "op2_piece_codec": piece_codec.op2,
     "op9_quality_divergence": quality_rules.op9,
