@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from captrix.llm import dac_tokens, main_text, piece_codec, quality_rules, warc_members
+from captrix.llm import dac_tokens, main_text, piece_codec, positional_index, quality_rules, warc_members
 
 QUERIES = {
+    "op5_positional_index": positional_index.op5,
     "op7_warc_members": warc_members.op7,
     "op10_main_text": main_text.op10,
     "op8_dac_tokens": dac_tokens.op8,
@@ -12,5 +13,6 @@ QUERIES = {
     "op9_quality_divergence": quality_rules.op9,
 }
 ORACLES = {
+    "op5_positional_index": positional_index.oracle(),
     "op9_quality_divergence": quality_rules.oracle(),
 }
