@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from captrix.llm import dac_tokens, main_text, piece_codec, positional_index, quality_rules, warc_members
+from captrix.llm import crf_language, dac_tokens, main_text, piece_codec, positional_index, quality_rules, warc_members
 
 QUERIES = {
+    "op1_crf_language": crf_language.op1,
     "op5_positional_index": positional_index.op5,
     "op7_warc_members": warc_members.op7,
     "op10_main_text": main_text.op10,
