@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from captrix.llm import crf_language, dac_tokens, main_text, piece_codec, positional_index, quality_rules, warc_members
+from captrix.llm import crf_language, dac_tokens, line_spread, main_text, piece_codec, positional_index, prob_minhash, quality_rules, warc_members
 
 QUERIES = {
+    "op6_prob_minhash": prob_minhash.op6,
+    "op4_line_spread": line_spread.op4,
     "op1_crf_language": crf_language.op1,
     "op5_positional_index": positional_index.op5,
     "op7_warc_members": warc_members.op7,
@@ -14,6 +16,7 @@ QUERIES = {
     "op9_quality_divergence": quality_rules.op9,
 }
 ORACLES = {
+    "op4_line_spread": line_spread.oracle(),
     "op5_positional_index": positional_index.oracle(),
     "op9_quality_divergence": quality_rules.oracle(),
 }
