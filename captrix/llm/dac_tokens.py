@@ -16,6 +16,7 @@ ids are remembered, which gives the same ids.
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import zlib
@@ -70,17 +71,25 @@ class WordTokenizer:
                     cut[i] = WORDS.findall(t.lower())
         memo = self.memo
         new = sorted({w for ws in cut.values() for w in ws if w not in memo})
-        got = dict(zip(new, self._library(new), strict=True))
-        if len(memo) < MEMO_WORDS:
-            memo.update((w, b) for w, b in got.items() if len(w) <= 48)
+        full = len(memo) >= MEMO_WORDS
+        memo.update(zip(new, self._library(new), strict=True))
         for i, ws in cut.items():
-            out[i] = b"".join([memo.get(w) or got.get(w, b"") for w in ws] if got else [memo[w] for w in ws])
+            out[i] = b"".join(map(memo.__getitem__, ws))
+        for w in new:  # frequent words are met early, so a full memo stays as it is
+            if full or len(w) > 48:
+                del memo[w]
         rest = [i for i, x in enumerate(out) if x is None]
         for i, b in zip(rest, self._library([texts[i] for i in rest]), strict=True):
             out[i] = b
         return out
 
 
+@functools.lru_cache(maxsize=2)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer for a Python worker, which keeps its memory from task to task."""
+    return WordTokenizer(path)
+
+
 def encode_file(ids: np.ndarray, ends: np.ndarray, bits: int = BITS) -> bytes:
     """The bytes of one file from the ids of its documents, end to end."""
     kind = np.dtype("<u1") if bits <= 8 else np.dtype("<u2")
@@ -192,7 +201,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        words, last = WordTokenizer(tokenizer), struct.pack("<I", end_id)
+        words, last = word_tokenizer(tokenizer), struct.pack("<I", end_id)
         keys, data, lengths, roll = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
