@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from captrix.llm import crf_language, dac_tokens, line_spread, main_text, piece_codec, positional_index, prob_minhash, quality_rules, warc_members
+from captrix.llm import crf_language, dac_tokens, line_spread, main_text, piece_codec, positional_index, prob_minhash, quality_rules, suffix_dedup, warc_members
 
 QUERIES = {
+    "op3_suffix_dedup": suffix_dedup.op3,
     "op6_prob_minhash": prob_minhash.op6,
     "op4_line_spread": line_spread.op4,
     "op1_crf_language": crf_language.op1,
