@@ -1,16 +1,17 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
-A document is a bag of five-word shingles, weighted by their counts. Every shingle sends arrivals of a Poisson process whose rate
-is its weight, each to a random register, and a register keeps the shingle that came first. A shingle stops as soon as
-its next arrival is later than all registers' (early termination), so a signature costs about n + m log m steps. The
+A document is a bag of five-word shingles, weighted by 1 + ln(count). Every shingle sends arrivals of a Poisson process whose
+rate is its weight, each to a random register, and a register keeps the shingle that came first. A shingle stops as soon
+as its next arrival is later than all registers' (early termination), so a signature costs about n + m log m steps. The
 share of equal registers estimates the probability Jaccard similarity. Bands of ``ROWS`` registers are hashed into buckets.
 
-Links: exact copies are one node (the smallest doc_id among them). Each bucket's members are verified against the bucket's
-leader, its smallest node. Members that this leaves in another component than the leader's are then verified against all
-members of other components in the bucket, except where the distances to the leader exclude similarity by the triangle
-inequality (one minus probability Jaccard is a metric; set Jaccard too). So all pairs that share a bucket are settled, without
-writing the pairs of a group. Two texts are similar if the probability Jaccard of their counted shingles, or the Jaccard of
-their sets, is at least ``SIMILARITY``; both are computed from the whole texts. Classes are the components of the links.
+Links: exact copies are one node (the smallest doc_id among them). Two texts are linked if the Jaccard similarity of their
+shingle sets, computed from the whole texts, is at least ``SIMILARITY`` = s. Each bucket's members are verified against its
+leader L, its smallest node. What this leaves open is settled by counting. Let U be L and all shingles that at least
+``LONG`` of L's members have. A pair x, y shares at most min(|x & U|, |y & U|) shingles within U, and needs s / (1 + s) (|x| + |y|) to be
+linked. So either it shares a shingle outside U, and the members of each such short list are compared, or both hold enough of U,
+which is a comparison of counts. Long lists get leaders of their own before. Near copies with changes of their own share
+nothing outside U, so a group's work follows its members and not their pairs, yet every linked pair under one leader is found.
 
 Edge cases: texts of one to four words are one shingle; null and empty texts have none, and are classed by equality alone;
 rows that share a doc_id are one document and share a class; a row without id takes the class of its exact copies, or
@@ -32,6 +33,8 @@ from captrix.llm.positional_index import small
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 8
+#: Members from which on a list of one shingle is long.
+LONG = 16
 BATCH_ROWS = 500
 _R = 0x5851F42D4C957F2D
 _SPACES = np.zeros(256, bool)
@@ -108,7 +111,7 @@ def signatures(texts: list[str], registers: int = BANDS * ROWS) -> tuple[np.ndar
     for d, x in zip(owner[alone], h[alone], strict=True):
         ids[d * registers : (d + 1) * registers] = x
     live = np.flatnonzero(~alone)
-    owner, h, rate = owner[live], h[live], count[live].astype(float)
+    owner, h, rate = owner[live], h[live], 1 + np.log(count[live])
     at, step = np.zeros(len(h)), 0
     latest = np.full(len(texts), np.inf)
     table = times.reshape(len(texts), registers)
@@ -138,27 +141,6 @@ def bands_of(ids: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return out.view(np.int64)
 
 
-def similarity(ha: np.ndarray, ca: np.ndarray, hb: np.ndarray, cb: np.ndarray) -> float:
-    """The larger of probability Jaccard (of counts) and Jaccard (of sets); hashes are distinct and sorted."""
-    if not len(ha) or not len(hb):
-        return 0.0
-    common, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    if not len(common):
-        return 0.0
-    plain = len(common) / (len(ha) + len(hb) - len(common))
-    x, y = ca[ia].astype(float), cb[ib].astype(float)
-    if (ca == 1).all() and (cb == 1).all():
-        return plain
-    only_a, only_b = ca.sum() - x.sum(), cb.sum() - y.sum()
-    order = np.argsort(x / y, kind="stable")
-    x, y = x[order], y[order]
-    ratio = x / y
-    first = np.searchsorted(ratio, ratio, "left")
-    above = only_a + np.concatenate([[0], np.cumsum(x[::-1])])[::-1][first]
-    below = only_b + np.concatenate([[0], np.cumsum(y)])[first]
-    return max(plain, float((1.0 / (above / x + below / y)).sum()))
-
-
 def sign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """d, a, b (hashes of the text), bands."""
     rows = docs.select(F.col(doc_id).alias("d"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).select("d", F.xxhash64("text").alias("a"), F.hash("text").alias("b"), "text")
@@ -179,10 +161,11 @@ def sign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 
 def verify(pairs: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """x, y, sim of pairs (x, y) of doc_ids, from the whole texts."""
+    """x, y, sim, nx, ny, common (numbers of shingles), own (x's shingles that y lacks) of pairs (x, y) of doc_ids, from the whole texts."""
     ids = pairs.select(F.col("x").alias("d")).unionByName(pairs.select(F.col("y").alias("d"))).distinct()
     texts = docs.select(F.col(doc_id).alias("d"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).join(small(ids), "d", "left_semi")
     both = pairs.join(texts.select(F.col("d").alias("x"), F.col("t").alias("tx")), "x").join(texts.select(F.col("d").alias("y"), F.col("t").alias("ty")), "y").select("x", "y", "tx", "ty")
+    numbers = ["nx", "ny", "common"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -190,13 +173,21 @@ def verify(pairs: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str
                 part = whole.slice(at, BATCH_ROWS)
                 tx, ty = part.column(2).to_pylist(), part.column(3).to_pylist()
                 where = {t: i for i, t in enumerate(dict.fromkeys([*tx, *ty]))}
-                owner, h, count = shingles(list(where))
+                owner, h, _ = shingles(list(where))
                 cut = np.searchsorted(owner, np.arange(len(where) + 1))
-                bag = lambda t: (h[cut[where[t]] : cut[where[t] + 1]], count[cut[where[t]] : cut[where[t] + 1]])
-                sims = [similarity(*bag(u), *bag(v)) for u, v in zip(tx, ty, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sims, pa.float64())], names=["x", "y", "sim"])
+                bag = lambda t: h[cut[where[t]] : cut[where[t] + 1]]
+                rows = []
+                for u, v in zip(tx, ty, strict=True):
+                    x, y = bag(u), bag(v)
+                    own = np.setdiff1d(x, y, assume_unique=True)
+                    common = len(x) - len(own)
+                    rows.append((common / max(1, len(x) + len(y) - common), len(x), len(y), common, own.view(np.int64)))
+                made = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made[0], pa.float64()), *[pa.array(c, pa.int64()) for c in made[1:4]], pa.array(made[4], pa.list_(pa.int64()))],
+                                                 names=["x", "y", "sim", *numbers, "own"])
 
-    return both.mapInArrow(run, T.StructType([both.schema["x"], both.schema["y"], T.StructField("sim", T.DoubleType())]))
+    kinds = [both.schema["x"], both.schema["y"], T.StructField("sim", T.DoubleType()), *[T.StructField(c, T.LongType()) for c in numbers], T.StructField("own", T.ArrayType(T.LongType()))]
+    return both.mapInArrow(run, T.StructType(kinds))
 
 
 def components(links: DataFrame, folder: str, name: str) -> DataFrame:
@@ -222,27 +213,64 @@ def classes(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "t
     nodes = signed.groupBy("a", "b").agg(F.min("d").alias("node"))
     members = signed.join(nodes.where(F.col("node").isNotNull()), ["a", "b"]).where(F.col("d") == F.col("node")).select("node", F.explode("bands").alias("bucket"))
     leaders = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("last > leader").select("bucket", "leader")
-    shared = stored(members.join(leaders, "bucket"), folder, "members")
-    stars = shared.where("node <> leader").select(F.col("node").alias("x"), F.col("leader").alias("y")).distinct()
+    shared = members.join(leaders, "bucket").where("node <> leader")
+    stars = shared.select(F.col("node").alias("x"), F.col("leader").alias("y")).distinct()
     tested = stored(verify(stars, docs, doc_id, text), folder, "stars")
-    links = tested.where(F.col("sim") >= threshold).select("x", "y").distinct()
-    first = components(links, folder, "first")
-    more = stored(verify(rest(shared, tested, first, threshold), docs, doc_id, text), folder, "rest").where(F.col("sim") >= threshold).select("x", "y").distinct()
-    labels = components(links.unionByName(more), folder, "all") if more.limit(1).count() else first
+    links = tested.where(F.col("sim") >= threshold).select("x", "y")
+    labels = components(links, folder, "first")
+    # What the leaders leave open: shingles outside the leader first, by leaders of their lists, then what is still open.
+    lists = stored(outside(tested, labels), folder, "lists")
+    heads = lists.groupBy("leader", "shingle").agg(F.min("x").alias("y"))
+    more = verify(lists.join(heads, ["leader", "shingle"]).where("x <> y").select("x", "y").distinct(), docs, doc_id, text)
+    more = stored(more.drop("own"), folder, "heads").where(F.col("sim") >= threshold).select("x", "y")
+    labels = components(links.unionByName(more), folder, "second")
+    open_ = short_lists(lists, labels, threshold).unionByName(within(tested, lists, labels, threshold)).distinct()
+    rest = stored(verify(open_, docs, doc_id, text).drop("own"), folder, "rest").where(F.col("sim") >= threshold).select("x", "y")
+    if rest.limit(1).count():
+        labels = components(links.unionByName(more).unionByName(rest), folder, "all")
     rows = signed.select("d", "a", "b").join(nodes, ["a", "b"])
     return rows.join(labels, "node", "left").select("d", "a", "b", "node", F.coalesce("class", "node").alias("class"))
 
 
-def rest(shared: DataFrame, tested: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """x, y: what a bucket's leader leaves open. x is in another component than the leader, y in another than x."""
-    sims = tested.groupBy(F.col("x").alias("node"), F.col("y").alias("leader")).agg(F.max("sim").alias("sim"))
-    own = shared.distinct().join(sims, ["node", "leader"]).join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
+def _placed(tested: DataFrame, labels: DataFrame) -> DataFrame:
+    """The tested pairs (x, leader) with the classes of both, ``class`` and ``leads``."""
+    own = tested.withColumnRenamed("y", "leader").join(labels.withColumnRenamed("node", "x"), "x", "left").withColumn("class", F.coalesce("class", "x"))
     of_leader = labels.select(F.col("node").alias("leader"), F.col("class").alias("leads"))
-    placed = own.join(of_leader, "leader", "left").withColumn("leads", F.coalesce("leads", "leader"))
-    out = placed.where("class <> leads").select("bucket", F.col("node").alias("x"), F.col("class").alias("cx"), F.col("sim").alias("sx"))
-    every = placed.select("bucket", F.col("node").alias("y"), F.col("class").alias("cy"), F.col("sim").alias("sy"), (F.col("class") != F.col("leads")).alias("is_out"))
-    pairs = out.join(every, "bucket").where((F.col("cx") != F.col("cy")) & (F.abs(F.col("sx") - F.col("sy")) <= 1 - threshold + 1e-9) & (~F.col("is_out") | (F.col("x") < F.col("y"))))
-    return pairs.select("x", "y").distinct()
+    return own.join(of_leader, "leader", "left").withColumn("leads", F.coalesce("leads", "leader"))
+
+
+def outside(tested: DataFrame, labels: DataFrame) -> DataFrame:
+    """leader, shingle, x, nx, size: lists of the shingles that members have and their leader lacks, where a list spans components."""
+    entries = _placed(tested, labels).select("leader", "x", "class", "nx", F.explode("own").alias("shingle"))
+    mixed = entries.groupBy("leader", "shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("leader", "shingle", "size")
+    return entries.join(mixed, ["leader", "shingle"]).select("leader", "shingle", "x", "nx", "size")
+
+
+def short_lists(lists: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """x, y in one short list and still in different components. A list has fewer than ``LONG`` members."""
+    own = lists.where(F.col("size") < LONG).join(labels.withColumnRenamed("node", "x"), "x", "left").withColumn("class", F.coalesce("class", "x"))
+    other = own.select("leader", "shingle", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("class").alias("cy"))
+    sizes = F.least("nx", "ny") >= threshold * F.greatest("nx", "ny")
+    return own.join(other, ["leader", "shingle"]).where((F.col("x") < F.col("y")) & (F.col("class") != F.col("cy")) & sizes).select("x", "y")
+
+
+def within(tested: DataFrame, lists: DataFrame, labels: DataFrame, threshold: float, width: float = 1.02) -> DataFrame:
+    """x, y in different components under one leader, x outside the leader's, that both hold enough of U.
+
+    y is found by its size, in steps of ``width``: at least threshold * |x|, at most what x's share of U allows. Shingles of
+    lists within one component count as outside U: only pairs of different components matter, and they share none.
+    """
+    share = threshold / (1 + threshold)
+    long = lists.where(F.col("size") >= LONG).groupBy("leader", "x").agg(F.count("*").alias("long"))
+    placed = _placed(tested, labels).where("nx > 0").select("leader", "x", "nx", "common", "class", "leads").join(long, ["leader", "x"], "left")
+    placed = placed.withColumn("common", F.col("common") + F.coalesce("long", F.lit(0)))
+    step = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(width)))
+    most = F.col("common") / share - F.col("nx")
+    able = placed.where(most >= threshold * F.col("nx") - 1e-6).withColumn("most", most + 1e-6)
+    out = able.where("class <> leads").withColumn("bin", F.explode(F.sequence(step(threshold * F.col("nx")), step(F.greatest("most", threshold * F.col("nx"))))))
+    every = able.select("leader", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("most").alias("most_y"), F.col("class").alias("class_y"), step(F.col("nx")).alias("bin"))
+    fits = (F.col("most") >= F.col("ny")) & (F.col("most_y") >= F.col("nx"))
+    return out.join(every, ["leader", "bin"]).where((F.col("class") != F.col("class_y")) & fits).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
