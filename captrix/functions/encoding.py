@@ -37,8 +37,10 @@ def guess(data: bytes) -> str:
             text = data.decode(codec)
         except UnicodeDecodeError:
             continue
-        high = [c for c in text if ord(c) > 127]
-        score = sum(_likely(c, label) for c in high) / max(1, len(high))
+        high = [k for k, c in enumerate(text) if ord(c) > 127]
+        # Western accents mostly stand between plain letters; in a row they are rather another script's letters.
+        alone = lambda k, t=text: not any(0 <= j < len(t) and ord(t[j]) > 127 for j in (k - 1, k + 1))
+        score = sum(_likely(text[k], label) * (1 if label != "windows-1252" or alone(k) else 0.5) for k in high) / max(1, len(high))
         if score > best + 1e-9:
             best, name = score, label
     return name
