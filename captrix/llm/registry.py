@@ -17,6 +17,7 @@ QUERIES = {
     "op9_quality_divergence": quality_rules.op9,
 }
 ORACLES = {
+    "op7_warc_members": warc_members.oracle(),
     "op4_line_spread": line_spread.oracle(),
     "op5_positional_index": positional_index.oracle(),
     "op9_quality_divergence": quality_rules.oracle(),

@@ -261,3 +261,15 @@ def op7(spark, sf_dir: str) -> DataFrame:
     remove(spark, f"{folder}/monolithic")
     done = spark.read.schema("file string, index string, n_records long").parquet(f"{folder}/normalised")
     return read_archives(done, n).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def oracle() -> str:
+    """SQL of op7. Base32: four letters for each five hexadecimal digits."""
+    value = "list_sum(list_transform(range(0, 5), lambda j: (strpos('0123456789abcdef', substr(d, k * 5 + j + 1, 1)) - 1) * (1 << (4 * (4 - j)))))::BIGINT"
+    letters = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v // {1 << s}) % 32 + 1)::INT, 1)" for s in (15, 10, 5, 0))
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keeper FROM pages),
+b AS (SELECT d, string_agg({letters}, '' ORDER BY k) AS digest FROM (SELECT d, k, {value} AS v FROM (SELECT DISTINCT d FROM p), (SELECT unnest(range(0, 8)) AS k)) GROUP BY d)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM p JOIN b USING (d)
+"""
