@@ -139,7 +139,11 @@ _text_query("q_norm_hi", tx.strip_hearing_impaired, SQL_HI("text"))
 _messy_query("q_filter_lang", lambda c: tx.filter_language(c, "en"), lambda x: G(x, "[^ -~]", ""))
 _messy_query("q_newlines", tx.remove_all_newlines, lambda x: TRIM(G(f"replace({x}, chr(10), ' ')", " +", " ")))
 _messy_query("q_replace_newlines", lambda c: tx.replace_newlines(c, " / "), lambda x: f"array_to_string({RUST_LINES(x)}, ' / ')")
-query("q_chunks")(lambda c: c.select(*KEY, F.array_join(tx.split_text_chunks(F.col("text"), 20), "|").alias("text")))
+query("q_chunks", r"""WITH RECURSIVE cues AS (""" + CUES.format(s="VARCHAR") + r"""),
+g AS (SELECT file_id, pos, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws, 0 AS i, [] :: VARCHAR[] AS done, '' AS held FROM cues
+ UNION ALL SELECT file_id, pos, ws, i + 1, CASE WHEN held <> '' AND strlen(held) + 1 + strlen(ws[i + 1]) > 20 THEN list_append(done, held) ELSE done END,
+  CASE WHEN held = '' THEN ws[i + 1] WHEN strlen(held) + 1 + strlen(ws[i + 1]) <= 20 THEN held || ' ' || ws[i + 1] ELSE ws[i + 1] END FROM g WHERE i < len(ws))
+SELECT file_id, pos, array_to_string(CASE WHEN held <> '' THEN list_append(done, held) ELSE done END, '|') AS text FROM g WHERE i = len(ws)""")(lambda c: c.select(*KEY, F.array_join(tx.split_text_chunks(F.col("text"), 20), "|").alias("text")))
 query("q_merge_short_lines")(lambda c: c.select(*KEY, tx.merge_short_lines(F.replace(F.col("text"), F.lit(". "), F.lit(".\n")), 40).alias("text")))
 query("q_optimize_line_breaks")(lambda c: c.select(*KEY, tx.optimize_line_breaks(F.col("text"), 42).alias("text")))
 query("q_ass_tags")(lambda c: c.select(*KEY, F.to_json(tx.parse_ass_tags(F.col("text"))).alias("parts")))
@@ -265,6 +269,10 @@ query("q_timestamps", "SELECT file_id, count(*) AS n_cues, arg_min(start_ms, pos
 
 # Writers and parsers
 
+#: Drop-frame time code of times below a minute.
+SCC_TIME = lambda x: f"printf('00:00:%02d;%02d', round({x} * 29.97 / 1000)::BIGINT // 30, round({x} * 29.97 / 1000)::BIGINT % 30)"
+TTML = ("'" + writers.ttml_text([], None).partition("    </div>")[0] + f"' || string_agg('      <p begin=\"' || {CLOCK('start_ms', '.')} || '\" end=\"' || {CLOCK('end_ms', '.')} || '\">' || text || '</p>', chr(10) ORDER BY pos) || '\n    </div>"
+        + writers.ttml_text([], None).partition("    </div>")[2] + "'")
 RENDERED = {
     "srt": f"string_agg((pos + 1) || chr(10) || {CLOCK('start_ms', ',')} || ' --> ' || {CLOCK('end_ms', ',')} || chr(10) || text, chr(10) || chr(10) ORDER BY pos) || chr(10)",
     "vtt": f"'WEBVTT' || chr(10) || chr(10) || string_agg((pos + 1) || chr(10) || {CLOCK('start_ms', '.')} || ' --> ' || {CLOCK('end_ms', '.')} || chr(10) || text, chr(10) || chr(10) ORDER BY pos) || chr(10)",
@@ -276,7 +284,9 @@ RENDERED = {
     "subviewer": "'" + writers.SUBVIEWER_HEAD.format(author="captrix") + f"\n\n' || string_agg({HUNDREDTHS('start_ms', '%02d')} || ',' || {HUNDREDTHS('end_ms', '%02d')} || chr(10) || text || chr(10) || chr(10), '' ORDER BY pos)",
     "ass": "'[Script Info]\n" + writers.ASS_INFO + "\n[V4+ Styles]\n" + writers.ASS_STYLE_FORMAT + writers.style_line(writers.DEFAULT_STYLE) + "\n[Events]\n" + writers.ASS_EVENT_FORMAT
            + f"' || string_agg('Dialogue: 0,' || {HUNDREDTHS('start_ms')} || ',' || {HUNDREDTHS('end_ms')} || ',Default,,0,0,0,,' || text || chr(10), '' ORDER BY pos)",
-    "scc": None, "ttml": None, "dfxp": None, "whisper": None, "ebu_stl": None,
+    "scc": f"'Scenarist_SCC V1.0' || chr(10) || chr(10) || string_agg({SCC_TIME('start_ms')} || chr(9) || '9420 94ad ' || array_to_string(list_transform(string_split(text, ''), lambda c: printf('%04X', ascii(c))), ' ')"
+           f" || ' 942f' || chr(10) || {SCC_TIME('end_ms')} || chr(9) || '942c' || chr(10) || chr(10), '' ORDER BY pos)",
+    "ttml": TTML, "dfxp": TTML, "whisper": None, "ebu_stl": None,
 }
 for _fmt, _sql in RENDERED.items():
     query(f"q_render_{_fmt}", _sql and f"SELECT file_id, sha256({_sql}) AS digest FROM cues GROUP BY file_id", PLAIN)(lambda c, f=_fmt: writers.render(c, f).select("file_id", F.sha2(F.col("content").cast("binary"), 256).alias("digest")))

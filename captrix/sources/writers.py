@@ -81,11 +81,13 @@ def _joined(cues: DataFrame, part: Column, between: str) -> DataFrame:
     return placed.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["part"]), between).alias("body"))
 
 
-def render(cues: DataFrame, fmt: str, files: DataFrame | None = None, fps: float | None = None, keep_header: bool = False, render_from_cues: bool = True, author: str = "captrix") -> DataFrame:
+def render(cues: DataFrame, fmt: str, files: DataFrame | None = None, fps: float | None = None, keep_header: bool = False, render_from_cues: bool = True, author: str = "captrix",
+           stored_index: bool = False) -> DataFrame:
     """file_id and content of every file that has cues.
 
     ``files`` gives headers, script info, styles and drop-frame flags. ``keep_header`` writes WebVTT headers too. With
-    ``render_from_cues`` off, LRC is written from the parsed lines with several stamps.
+    ``render_from_cues`` off, LRC is written from the parsed lines with several stamps; with ``stored_index``, SubRip and
+    WebVTT cues keep the numbers that they came with, as streams write them.
     """
     fmt = canonical_format(fmt)
     if fmt in ("ttml", "dfxp", "whisper", "ebu_stl"):
@@ -97,7 +99,7 @@ def render(cues: DataFrame, fmt: str, files: DataFrame | None = None, fps: float
     if fmt == "scc":
         flags = files.select("file_id", "drop_frame") if files is not None else None
         cues = cues.join(flags, "file_id", "left") if flags is not None else cues.withColumn("drop_frame", F.lit(True))
-    body = _joined(cues, cue_text(fmt, rate), "\n\n" if fmt in ("srt", "vtt") else "")
+    body = _joined(cues, cue_text(fmt, rate, stored_index), "\n\n" if fmt in ("srt", "vtt") else "")
     meta = files.select("file_id", "header", "info", "styles") if files is not None else None
     body = body.join(meta, "file_id", "left") if meta is not None else body.withColumns({"header": F.lit(None).cast("string"), "info": F.lit(None).cast("map<string,string>"), "styles": F.lit(None).cast(T.ArrayType(STYLE))})
     text = F.col("body")

@@ -105,3 +105,10 @@ def test_builder_and_policies(spark, tmp_path):
     lrc, files = build_file(spark, "f", "lrc", [{"start_ms": 10, "end_ms": 20, "text": "a"}])
     files = files.withColumn("lrc_lines", F.array(F.struct(F.array(F.lit(1500).cast("long"), F.lit(2500).cast("long")).alias("times_ms"), F.lit("la").alias("text"))))
     assert writers.render(lrc, "lrc", files, render_from_cues=False).first()["content"] == "[00:01.50][00:02.50]la\n"
+
+
+def test_stored_numbers_and_headers(spark):
+    cues, files = build_file(spark, "f", "vtt", [{"index": 7, "start_ms": 0, "end_ms": 1000, "text": "a", "settings": "line:1"}], header="WEBVTT - x")
+    assert writers.render(cues, "srt", files, stored_index=True).first()["content"].startswith("7\n00:00:00,000")
+    assert writers.render(cues, "vtt", files, keep_header=True).first()["content"] == "WEBVTT - x\n\n1\n00:00:00.000 --> 00:00:01.000 line:1\na\n"
+    assert writers.render(cues, "vtt", files).first()["content"].startswith("WEBVTT\n\n")
