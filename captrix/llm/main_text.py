@@ -38,7 +38,8 @@ LOOSE = INLINE | {"p", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tf
 NO_CONTENT = {"ad", "ads", "advert", "adverts", "advertisement", "adsense", "banner", "sponsor", "sponsored", "promo", "promotion", "sidebar", "menu", "nav", "navbar", "navigation",
               "breadcrumb", "breadcrumbs", "footer", "header", "masthead", "cookie", "cookies", "consent", "notice", "popup", "modal", "newsletter", "subscribe", "share", "sharing", "social",
               "related", "recommended", "comment", "comments", "disqus", "widget", "search", "login", "signup", "contentinfo", "complementary", "pagination", "skip"}
-CONTAINERS = {"article", "main"}
+#: The words of these that name what is no content of an article or main element either.
+CONTAINERS, NO_ARTICLE = {"article", "main"}, {"ad", "ads", "advert", "advertisement", "sponsored", "promo", "related", "recommended", "comment", "comments"}
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 SPACES = re.compile(r"\s+")
 
@@ -48,12 +49,13 @@ def _no_content(name: str, attributes: str, in_container: bool) -> bool:
         return True
     if name == "header":
         return not in_container
-    if attributes and name not in CONTAINERS and name not in ("html", "body"):
+    if attributes and name not in ("html", "body"):
+        words = NO_ARTICLE if name in CONTAINERS else NO_CONTENT - {"header"} if in_container else NO_CONTENT
         for m in ATTRIBUTE.finditer(attributes):
             value = (m[2] or m[3] or m[4] or "").lower()
             if m[1].lower() == "hidden" or m[1].lower() == "aria-hidden" and value == "true":
                 return True
-            if any(w in NO_CONTENT for w in re.split(r"[\s_\-]+", value)):
+            if any(w in words for w in re.split(r"[\s_\-]+", value)):
                 return True
     return False
 
@@ -97,12 +99,13 @@ def lines_of(page: str) -> list[tuple[str, int]]:
                     break
     lines: list[tuple[str, int]] = []
     parts: list[str] = []
-    containers: list[tuple[int, int]] = []
+    containers: list[tuple[int, int, str]] = []
 
     def finish() -> None:
         text = SPACES.sub(" ", entities.unescape("".join(parts))).strip()
         parts.clear()
-        lines.append((text, containers[0][0] if containers else -1))
+        own = next((c for c in containers if c[2] == "article"), containers[0] if containers else (-1,))
+        lines.append((text, own[0]))
 
     k = 0
     while k < len(tokens):
@@ -119,8 +122,10 @@ def lines_of(page: str) -> list[tuple[str, int]]:
                     if end is not None:
                         k = end + 1
                         continue
+                elif name == "main" and any(t[0] == "o" and t[2] == "article" for t in tokens[k : ends.get(k, len(tokens))]):
+                    pass  # the articles in it are the containers
                 elif name in CONTAINERS:
-                    containers.append((k, ends.get(k, len(tokens))))
+                    containers.append((k, ends.get(k, len(tokens)), name))
         elif kind == "o" and name in ("span", "a", "ins") and attributes and k in ends and _no_content(name, attributes, bool(containers)):
             k = ends[k] + 1
             continue

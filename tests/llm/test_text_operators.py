@@ -199,6 +199,9 @@ def test_main_text(spark):
     assert main_text.main_text("plain text only, no markup") == "plain text only, no markup"
     words = "many words that make a paragraph which is long enough to count as text of a page. " * 2
     assert main_text.main_text(f"<div>Home</div><br><br><br><br><p>{words}</p><p>tiny</p><p>{words}</p><br><br><br><br><div>About</div>") == f"{words.strip()}\ntiny\n{words.strip()}"
+    nested = f'<main><h2>Section</h2><article><div class="article-header"><h1>T</h1></div><p>{words}</p><article class="comment"><p>{words}</p></article></article></main>'
+    assert main_text.main_text(nested) == f"T\n{words.strip()}"
+    assert main_text.main_text(f"<main><p>{words}</p><p>x</p></main><p>{words}</p>") == f"{words.strip()}\nx"
     pages = spark.createDataFrame([(1, "u", PAGE, "kept"), (1, "u", PAGE, "kept"), (None, None, None, None)], "page_id long, url string, html string, text2 string")
     out = main_text.extract(pages)
     assert out.columns == ["page_id", "url", "text2", "text"] and [len(r["text"]) for r in out.orderBy("page_id").collect()] == [0, 41, 41]
