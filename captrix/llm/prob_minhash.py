@@ -210,8 +210,9 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
 def classes(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """d, a, b (hashes of the text), node (the smallest id among exact copies) and class of every row."""
     signed = stored(sign(docs, doc_id, text), folder, "signatures")
-    nodes = signed.groupBy("a", "b").agg(F.min("d").alias("node"))
-    members = signed.join(nodes.where(F.col("node").isNotNull()), ["a", "b"]).where(F.col("d") == F.col("node")).select("node", F.explode("bands").alias("bucket"))
+    copies = stored(signed.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("d").alias("keeper")).where("n > 1").select("a", "b", "n", "keeper"), folder, "copies")
+    marked = signed.join(small(copies), ["a", "b"], "left").withColumn("node", F.when(F.col("n").isNull(), F.col("d")).otherwise(F.col("keeper"))).drop("n", "keeper")
+    members = marked.where(F.col("d") == F.col("node")).select("node", F.explode("bands").alias("bucket"))
     leaders = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("last > leader").select("bucket", "leader")
     shared = members.join(leaders, "bucket").where("node <> leader")
     stars = shared.select(F.col("node").alias("x"), F.col("leader").alias("y")).distinct()
@@ -228,7 +229,7 @@ def classes(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "t
     rest = stored(verify(open_, docs, doc_id, text).drop("own"), folder, "rest").where(F.col("sim") >= threshold).select("x", "y")
     if rest.limit(1).count():
         labels = components(links.unionByName(more).unionByName(rest), folder, "all")
-    rows = signed.select("d", "a", "b").join(nodes, ["a", "b"])
+    rows = marked.select("d", "a", "b", "node")
     return rows.join(labels, "node", "left").select("d", "a", "b", "node", F.coalesce("class", "node").alias("class"))
 
 
