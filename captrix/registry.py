@@ -332,6 +332,21 @@ def _encodings(c):
     return d.select(*KEY, text(F.col("a")).alias("utf8"), text(F.col("b")).alias("bom"), text(F.col("l")).alias("utf16le"), text(F.col("e")).alias("utf16be"), name(F.col("b")).alias("bom_name"), name(F.col("l")).alias("le_name"), name(F.col("e")).alias("be_name"))
 
 
+EXT_ROWS = ", ".join(f"('{e}', '{f}')" for e, f in detect.EXTENSIONS.items())
+
+
+@query("q_extension", f"SELECT file_id || '/cap.' || e AS path, f AS format FROM (SELECT DISTINCT file_id FROM cues), (VALUES {EXT_ROWS}, ('TXT', NULL), ('SRT', 'srt')) AS t(e, f)", PLAIN)
+def _extension(c):
+    d = c.select("file_id").distinct().withColumn("e", F.explode(F.array(*[F.lit(e) for e in (*detect.EXTENSIONS, "TXT", "SRT")])))
+    return d.select(F.concat("file_id", F.lit("/cap."), "e").alias("path")).withColumn("format", detect.format_of_path(F.col("path")))
+
+
+@query("q_parse_errors", """SELECT file_id, CASE WHEN file_id::BIGINT % 2 = 0 THEN count(*) ELSE 0 END AS n_cues, CASE WHEN file_id::BIGINT % 2 = 1 THEN 'UnexpectedLine' END AS kind FROM cues GROUP BY file_id""", PLAIN)
+def _parse_errors(c):
+    texts = writers.render(c, "srt").withColumn("content", F.when(F.col("file_id").cast("long") % 2 == 1, F.concat(F.lit("1\nno time\n\n"), F.col("content"))).otherwise(F.col("content")))
+    return reader.files_of(reader.parse_texts(texts, "srt", text="content")).select("file_id", "n_cues", F.col("parse_error.kind").alias("kind"))
+
+
 query("q_json", "SELECT file_id, pos, start_ms, end_ms FROM cues", PLAIN)(
     lambda c: writers.to_json(c).select(F.from_json("value", "file_id string, pos long, start_ms long, end_ms long").alias("v")).select("v.*"))
 

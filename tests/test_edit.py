@@ -102,6 +102,18 @@ def test_pipeline(spark):
             Pipeline.from_json(bad)
 
 
+def test_every_operation_runs(spark):
+    from captrix.plans.pipeline import OPERATIONS
+
+    values = {"offset_ms": 100, "max_gap_ms": 200, "max_chars": 3, "in_fps": 24.0, "out_fps": 25.0, "min_ms": 500, "max_ms": 900, "max_cps": 10.0}
+    plan = Pipeline()
+    for op, (names, _) in OPERATIONS.items():
+        plan = plan.add(op, **{n: values[n] for n in names})
+    rows = out(plan.apply(table(spark, [(5000, 6000, "b b b b"), (1000, 2000, "a"), (2100, 2500, " ")])), "pos", "start_ms", "end_ms", "text")
+    assert [r[0] for r in rows] == list(range(len(rows))) and all(r[3].strip() for r in rows)
+    assert plan.apply(table(spark, [])).count() == 0
+
+
 def test_command_line(spark, tmp_path, capsys):
     src = tmp_path / "a.srt"
     src.write_text("1\n00:00:01,000 --> 00:00:03,000\nhi there\n\n2\n00:00:02,000 --> 00:00:04,000\nyou\n")
