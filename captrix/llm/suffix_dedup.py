@@ -31,7 +31,7 @@ from captrix.llm.induced_sort import repeated, scratch
 from captrix.llm.positional_index import small
 
 LENGTH, GRAM = 400, 64
-HOT, STEP = 2000, 32
+HOT, STEP = 2000, 64
 #: Bytes of text that a shard holds on average, places that are hashed at once, bytes of text handled together.
 SHARD_BYTES, PIECE, BATCH_BYTES = 6 << 20, 1 << 20, 2 << 20
 SEPARATOR = 0xFF  # in no UTF-8 text
