@@ -144,7 +144,12 @@ g AS (SELECT file_id, pos, list_filter(regexp_split_to_array(text, '\s+'), lambd
  UNION ALL SELECT file_id, pos, ws, i + 1, CASE WHEN held <> '' AND strlen(held) + 1 + strlen(ws[i + 1]) > 20 THEN list_append(done, held) ELSE done END,
   CASE WHEN held = '' THEN ws[i + 1] WHEN strlen(held) + 1 + strlen(ws[i + 1]) <= 20 THEN held || ' ' || ws[i + 1] ELSE ws[i + 1] END FROM g WHERE i < len(ws))
 SELECT file_id, pos, array_to_string(CASE WHEN held <> '' THEN list_append(done, held) ELSE done END, '|') AS text FROM g WHERE i = len(ws)""")(lambda c: c.select(*KEY, F.array_join(tx.split_text_chunks(F.col("text"), 20), "|").alias("text")))
-query("q_merge_short_lines")(lambda c: c.select(*KEY, tx.merge_short_lines(F.replace(F.col("text"), F.lit(". "), F.lit(".\n")), 40).alias("text")))
+query("q_merge_short_lines", r"""WITH RECURSIVE cues AS (""" + CUES.format(s="VARCHAR") + r"""),
+g AS (SELECT file_id, pos, string_split(regexp_replace(replace(text, '. ', '.' || chr(10)), '\n$', ''), chr(10)) AS ls, 0 AS i, [] :: VARCHAR[] AS done, '' AS held FROM cues
+ UNION ALL SELECT file_id, pos, ls, i + 1,
+  CASE WHEN l <> '' AND strlen(l) <= 40 THEN done ELSE list_append(CASE WHEN held <> '' THEN list_append(done, held) ELSE done END, l) END,
+  CASE WHEN l <> '' AND strlen(l) <= 40 THEN CASE WHEN held = '' THEN l ELSE held || ' ' || l END ELSE '' END FROM (SELECT *, ls[i + 1] AS l FROM g WHERE i < len(ls)))
+SELECT file_id, pos, array_to_string(CASE WHEN held <> '' THEN list_append(done, held) ELSE done END, chr(10)) AS text FROM g WHERE i = len(ls)""")(lambda c: c.select(*KEY, tx.merge_short_lines(F.replace(F.col("text"), F.lit(". "), F.lit(".\n")), 40).alias("text")))
 query("q_optimize_line_breaks")(lambda c: c.select(*KEY, tx.optimize_line_breaks(F.col("text"), 42).alias("text")))
 query("q_ass_tags")(lambda c: c.select(*KEY, F.to_json(tx.parse_ass_tags(F.col("text"))).alias("parts")))
 query("q_fps", f"SELECT file_id, pos, {L('round(start_ms * (25.0 / 23.976))')} AS start_ms, {L('round(end_ms * (25.0 / 23.976))')} AS end_ms FROM cues")(lambda c: edit.transform_framerate(c, 23.976, 25.0).select(*TIMES))
@@ -273,6 +278,8 @@ query("q_timestamps", "SELECT file_id, count(*) AS n_cues, arg_min(start_ms, pos
 SCC_TIME = lambda x: f"printf('00:00:%02d;%02d', round({x} * 29.97 / 1000)::BIGINT // 30, round({x} * 29.97 / 1000)::BIGINT % 30)"
 TTML = ("'" + writers.ttml_text([], None).partition("    </div>")[0] + f"' || string_agg('      <p begin=\"' || {CLOCK('start_ms', '.')} || '\" end=\"' || {CLOCK('end_ms', '.')} || '\">' || text || '</p>', chr(10) ORDER BY pos) || '\n    </div>"
         + writers.ttml_text([], None).partition("    </div>")[2] + "'")
+WHISPER = ("'{\n  \"segments\": [\n' || string_agg('    {\n      \"avg_logprob\": -1.0,\n      \"compression_ratio\": 1.0,\n      \"end\": ' || (end_ms / 1000.0) || ',\n      \"id\": 0,\n      \"no_speech_prob\": 0.0,\n      \"seek\": 0,\n      \"start\": '"
+           " || (start_ms / 1000.0) || ',\n      \"temperature\": 0.0,\n      \"text\": \"' || text || '\",\n      \"tokens\": []\n    }', ',' || chr(10) ORDER BY pos) || '\n  ],\n  \"text\": \"' || string_agg(text, ' ' ORDER BY pos) || '\"\n}'")
 RENDERED = {
     "srt": f"string_agg((pos + 1) || chr(10) || {CLOCK('start_ms', ',')} || ' --> ' || {CLOCK('end_ms', ',')} || chr(10) || text, chr(10) || chr(10) ORDER BY pos) || chr(10)",
     "vtt": f"'WEBVTT' || chr(10) || chr(10) || string_agg((pos + 1) || chr(10) || {CLOCK('start_ms', '.')} || ' --> ' || {CLOCK('end_ms', '.')} || chr(10) || text, chr(10) || chr(10) ORDER BY pos) || chr(10)",
@@ -286,7 +293,7 @@ RENDERED = {
            + f"' || string_agg('Dialogue: 0,' || {HUNDREDTHS('start_ms')} || ',' || {HUNDREDTHS('end_ms')} || ',Default,,0,0,0,,' || text || chr(10), '' ORDER BY pos)",
     "scc": f"'Scenarist_SCC V1.0' || chr(10) || chr(10) || string_agg({SCC_TIME('start_ms')} || chr(9) || '9420 94ad ' || array_to_string(list_transform(string_split(text, ''), lambda c: printf('%04X', ascii(c))), ' ')"
            f" || ' 942f' || chr(10) || {SCC_TIME('end_ms')} || chr(9) || '942c' || chr(10) || chr(10), '' ORDER BY pos)",
-    "ttml": TTML, "dfxp": TTML, "whisper": None, "ebu_stl": None,
+    "ttml": TTML, "dfxp": TTML, "whisper": WHISPER, "ebu_stl": None,
 }
 for _fmt, _sql in RENDERED.items():
     query(f"q_render_{_fmt}", _sql and f"SELECT file_id, sha256({_sql}) AS digest FROM cues GROUP BY file_id", PLAIN)(lambda c, f=_fmt: writers.render(c, f).select("file_id", F.sha2(F.col("content").cast("binary"), 256).alias("digest")))
