@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from captrix.functions.text import chars_per_second, duration_ms, plaintext, reading_speed_wpm, words
 from captrix.operators.edit import in_file
-from captrix.operators.validate import issue_counts, validate
+from captrix.operators.validate import issue_counts, with_issues
 
 #: Fixed value: characters from which one line had better be two.
 LONG_LINE = 42
@@ -33,12 +33,11 @@ def quality_report(cues: DataFrame, max_chars: int = 42, max_gap_ms: int = 5000,
 def info(cues: DataFrame) -> DataFrame:
     """One row a file: times, durations, characters, the highest speed and the number of timing issues."""
     dur = duration_ms(F.col("start_ms"), F.col("end_ms"))
-    agg = cues.groupBy("file_id").agg(F.count("*").alias("n_cues"), F.min_by("start_ms", "pos").alias("first_start_ms"), F.max_by("end_ms", "pos").alias("last_end_ms"),
+    agg = with_issues(cues).groupBy("file_id").agg(F.sum(F.size("_issues")).cast("long").alias("n_issues"), F.count("*").alias("n_cues"), F.min_by("start_ms", "pos").alias("first_start_ms"), F.max_by("end_ms", "pos").alias("last_end_ms"),
                                       F.floor(F.sum(dur) / F.count("*")).cast("long").alias("avg_duration_ms"), F.min(dur).alias("min_duration_ms"), F.max(dur).alias("max_duration_ms"),
                                       F.sum(F.length("text")).cast("long").alias("total_chars"), F.greatest(F.lit(0.0), F.max(chars_per_second(F.col("text"), F.col("start_ms"), F.col("end_ms")))).alias("max_cps"))
-    issues = validate(cues).groupBy("file_id").agg(F.count("*").alias("n_issues"))
     total = F.greatest(F.col("last_end_ms") - F.col("first_start_ms"), F.lit(0))
-    return agg.withColumn("total_duration_ms", total).join(issues, "file_id", "left").withColumn("n_issues", F.coalesce("n_issues", F.lit(0).cast("long")))
+    return agg.withColumn("total_duration_ms", total)
 
 
 def timestamps(cues: DataFrame) -> DataFrame:

@@ -32,6 +32,16 @@ def issues(cues: DataFrame, extended: bool = False, max_chars: int = 42, max_gap
 
     Every cue's checks are an array from one pass (two windows, one shuffle) that is exploded, so that nothing is read twice.
     """
+    found = with_issues(cues, extended, max_chars, max_gap_ms, max_cps).select("file_id", F.explode("_issues").alias("i")).select("file_id", "i.*")
+    found = found.withColumn("seq", (F.row_number().over(Window.partitionBy("file_id").orderBy("phase", "rank")) - 1).cast("long"))
+    code = F.lit(None).cast("string")
+    for k, v in KINDS.items():
+        code = F.when(F.col("kind") == k, F.lit(v)).otherwise(code)
+    return found.select("file_id", "seq", "kind", code.alias("code"), *FIELDS, description().alias("description"))
+
+
+def with_issues(cues: DataFrame, extended: bool = False, max_chars: int = 42, max_gap_ms: int = 5000, max_cps: float = 25.0) -> DataFrame:
+    """The cues with an array of their issues, ``_issues``: two windows over one partitioning."""
     start, end, pos = F.col("start_ms"), F.col("end_ms"), F.col("pos")
     d = cues.withColumns({"_prev_start": F.lag("start_ms").over(in_file()), "_prev_end": F.lag("end_ms").over(in_file())})
     d = d.withColumns({"_next_start": F.lead("start_ms").over(in_time()), "_next_pos": F.lead("pos").over(in_time()), "_rank": F.row_number().over(in_time())})
@@ -49,12 +59,7 @@ def issues(cues: DataFrame, extended: bool = False, max_chars: int = 42, max_gap
             _one(cps > max_cps, _issue(4, pos * 2 + 1, "CpsTooHigh", index=pos, cps=cps, max_cps=F.lit(float(max_cps)))),
             _one(gap > max_gap_ms, _issue(5, "pos", "TooLongGap", index=pos, prev_end=F.col("_prev_end"), curr_start=start, gap_ms=gap)),
         ]
-    found = d.select("file_id", F.explode(F.concat(*checks)).alias("i")).select("file_id", "i.*")
-    found = found.withColumn("seq", (F.row_number().over(Window.partitionBy("file_id").orderBy("phase", "rank")) - 1).cast("long"))
-    code = F.lit(None).cast("string")
-    for k, v in KINDS.items():
-        code = F.when(F.col("kind") == k, F.lit(v)).otherwise(code)
-    return found.select("file_id", "seq", "kind", code.alias("code"), *FIELDS, description().alias("description"))
+    return d.withColumn("_issues", F.concat(*checks))
 
 
 def description() -> Column:
