@@ -79,7 +79,7 @@ def ranked_terms(index: PositionalIndex, windows: DataFrame, folder: str) -> Dat
     """win, off, term, len, rank: the terms of windows whose terms all occur, the rarest first."""
     lists = windows.select("win", "terms").dropDuplicates(["win"])
     terms = lists.select("win", F.size("terms").alias("len"), F.posexplode("terms").alias("off", "word")).withColumn("term", F.xxhash64("word"))
-    counts = index.postings.groupBy("term").agg(F.count("*").alias("n"))
+    counts = small(stored(index.postings.groupBy("term").agg(F.count("*").alias("n")), folder, "counts"))
     by_win = Window.partitionBy("win")
     ranked = terms.join(counts, "term", "left").withColumn("absent", F.max(F.col("n").isNull().cast("int")).over(by_win)).where("absent = 0")
     return stored(ranked.withColumn("rank", F.row_number().over(by_win.orderBy("n", "off"))).select("win", "off", "term", "len", "rank"), folder, "ranked")
