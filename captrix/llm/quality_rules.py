@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from captrix.llm.common import shared_folder, stored
+
 SPACE = r"[\x20\x09-\x0D]+"
 #: Closed-class words, the bins of the common-word histogram.
 COMMON_WORDS = {
@@ -23,7 +25,8 @@ COMMON_WORDS = {
     "es": ["el", "los", "las", "y", "que", "se", "por", "con", "para", "una"],
 }
 #: Character classes; what none of them matches is the last bin (letters beyond ASCII and the rest).
-CLASSES = [r"a-z", r"A-Z", r"0-9", r"\x20\x09-\x0D", r".,;:!?'\"()\x2D", r"#*$%&|<>@\x5B\x5C\x5D^_`{}~+=/"]
+LETTERS, BLANKS = r"a-z", r"\x20\x09-\x0D"
+CLASSES = [LETTERS, r"A-Z", r"0-9", BLANKS, r".,;:!?'\"()\x2D", r"#*$%&|<>@\x5B\x5C\x5D^_`{}~+=/"]
 MIN_CHARS, MIN_WORDS = 200, 80
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.22, 0.27
 MAX_LANGUAGES = 10_000
@@ -98,9 +101,12 @@ def histograms(counted: DataFrame, text: str = "text", words: dict[str, list[str
     found = F.array_join(F.filter(F.col("_words"), lambda w: w.isin(bins)), "  ")
     counted = counted.withColumns({
         "_found": F.concat(F.lit(" "), found, F.lit(" ")),
-        "_c": F.array(*[F.length(F.regexp_replace(t, f"[^{c}]+", "")).cast("long") for c in CLASSES]),
         "_all": F.length(t).cast("long"),
     })
+    # Of frequent characters the rest is counted, of rare ones themselves; white space is what words leave.
+    left, only = lambda c: F.length(F.regexp_replace(t, f"[{c}]+", "")), lambda c: F.length(F.regexp_replace(t, f"[^{c}]+", ""))
+    counts = {c: F.col("_all") - left(c) if c == LETTERS else F.col("_all") - F.col("word_chars") if c == BLANKS else only(c) for c in CLASSES}
+    counted = counted.withColumn("_c", F.array(*[counts[c].cast("long") for c in CLASSES]))
     each = [((F.length("_found") - F.length(F.replace(F.col("_found"), F.lit(f" {b} "), F.lit("")))) / (len(b) + 2)).cast("long") for b in bins]
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
     counted = counted.withColumn("_w", F.array(*each))
@@ -137,10 +143,14 @@ def js_distance(counts: Column, reference: Column) -> Column:
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", base_failed: Column | None = None,
-          max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
-    """Add the base counts, js_chars, js_words, base_failed and kept to every row of ``docs``."""
-    hists = histograms(base_counts(docs, text), text)
-    refs = references(histograms(base_counts(docs.select(text, lang), text), text), lang)
+          max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, keep_text: bool = True) -> DataFrame:
+    """Add the base counts, js_chars, js_words, base_failed and kept to every row of ``docs``.
+
+    Counts and histograms are written to the shared folder, so that texts are read once for both references and verdicts.
+    """
+    counted = histograms(base_counts(docs, text), text).drop("_words", *([] if keep_text else [text]))
+    hists = stored(counted, shared_folder(docs.sparkSession), "histograms")
+    refs = references(hists, lang)
     failed = base_failed if base_failed is not None else (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     doubles = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
     if not refs:
@@ -157,20 +167,19 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", base_failed:
         long_enough = (F.col("word_chars") >= MIN_CHARS) & (F.col("n_words") >= MIN_WORDS)
         out = hists.withColumns({"js_chars": F.when(long_enough, distance("_chars", 1)), "js_words": F.when(long_enough, distance("_common", 2))})
     far = F.coalesce(F.col("js_chars") > max_class_distance, F.lit(False)) | F.coalesce(F.col("js_words") > max_word_distance, F.lit(False))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~(F.col("base_failed") | far)).drop("_words", "_chars", "_common")
+    return out.withColumn("base_failed", failed).withColumn("kept", ~(F.col("base_failed") | far)).drop("_chars", "_common")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judge(docs, keep_text=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go."""
     own = docs.columns
-    work = docs.select(F.struct(*own).alias("_row"), F.col("text"), F.col("lang"))
-    # A filter on these rules alone would be pushed below the projections and compute them again for every use of a name.
-    return judge(work).withColumn("_at", F.monotonically_increasing_id()).where("kept AND _at >= 0").select("_row.*")
+    work = docs.select(F.struct(*own).alias("_row"), F.col("text").alias("_t"), F.col("lang").alias("_l"))
+    return judge(work, "_t", "_l", keep_text=False).where("kept").select("_row.*")
 
 
 def oracle() -> str:
