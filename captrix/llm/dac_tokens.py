@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from captrix.llm.common import read, shared_folder
 
 MAGIC, BLOCK = b"DAC1", 512
-MEMO_WORDS, BATCH_ROWS = 400_000, 1000
+MEMO_WORDS, BATCH_ROWS = 500_000, 1000
 PLAIN = re.compile(r"[\t\n\v\f\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 #: Chunk width in bits.
@@ -58,6 +58,22 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.plain_words = plain_words
         self.memo: dict[str, bytes] = {}
+        size = self.library.get_vocab_size()
+        self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of single pre-tokens: many in one text, cut behind the ids that end a word; one by one where that doesn't tally."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            ids = np.asarray(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else []
+            if len(cut) != len(part) or cut[-1] != len(ids):
+                out += self._library(part)
+                continue
+            data, stops = ids.tobytes(), (4 * cut).tolist()
+            out += [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+        return out
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
@@ -72,7 +88,7 @@ class WordTokenizer:
         memo = self.memo
         new = sorted({w for ws in cut.values() for w in ws if w not in memo})
         full = len(memo) >= MEMO_WORDS
-        memo.update(zip(new, self._library(new), strict=True))
+        memo.update(zip(new, self._words(new), strict=True))
         for i, ws in cut.items():
             out[i] = b"".join(map(memo.__getitem__, ws))
         for w in new:  # frequent words are met early, so a full memo stays as it is
