@@ -16,12 +16,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name under the shared folder that the session names; tests without one get a local folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "captrix-shared")
-    elif "://" not in base and not base.startswith("file:"):
-        base = "file://" + os.path.abspath(base)
+    """A new folder name under the shared folder that the session names, with its scheme; without one, a local folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "captrix-shared")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    base = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if base.startswith("file:/") and not base.startswith("file://"):
+        base = "file://" + base.removeprefix("file:")
     return f"{base.rstrip('/')}/captrix-{uuid.uuid4().hex}"
 
 
