@@ -117,8 +117,8 @@ _text_query("q_strip_tags", tx.strip_tags, STRIPPED)
 _text_query("q_ass_to_plaintext", tx.ass_to_plaintext, r"regexp_replace(regexp_replace(regexp_replace(text, '\{[^}]*\}', '', 'g'), '\\[Nn]', chr(10), 'g'), '\\h', ' ', 'g')")
 
 G = lambda x, pattern, by: f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
-RUST_LINES = lambda x: f"string_split(regexp_replace({x}, '\\n$', ''), chr(10))"
-SQL_WS = lambda x: TRIM(G(rf"regexp_replace(array_to_string(list_transform({RUST_LINES(x)}, lambda l: {G(TRIM('l'), ' {2,}', ' ')}), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g')", r"[ \t]+$", ""))
+SQL_LINES = lambda x: f"string_split(regexp_replace({x}, '\\n$', ''), chr(10))"
+SQL_WS = lambda x: TRIM(G(rf"regexp_replace(array_to_string(list_transform({SQL_LINES(x)}, lambda l: {G(TRIM('l'), ' {2,}', ' ')}), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g')", r"[ \t]+$", ""))
 SQL_QUOTES = lambda x: f"replace(translate({x}, '“”‘’–', '\"\"''''-'), '—', '--')"
 SQL_PUNCT = lambda x: f"replace({G(G(G(x, ' +([,!.;:?])', chr(92) + '1'), '([.!?,]){4,}', (chr(92) + '1') * 3), r'\.\s*\.\s*\.', '…')}, '....', '…')"
 
@@ -138,7 +138,7 @@ _messy_query("q_norm_text", tx.normalize_text, lambda x: SQL_WS(SQL_PUNCT(SQL_QU
 _text_query("q_norm_hi", tx.strip_hearing_impaired, SQL_HI("text"))
 _messy_query("q_filter_lang", lambda c: tx.filter_language(c, "en"), lambda x: G(x, "[^ -~]", ""))
 _messy_query("q_newlines", tx.remove_all_newlines, lambda x: TRIM(G(f"replace({x}, chr(10), ' ')", " +", " ")))
-_messy_query("q_replace_newlines", lambda c: tx.replace_newlines(c, " / "), lambda x: f"array_to_string({RUST_LINES(x)}, ' / ')")
+_messy_query("q_replace_newlines", lambda c: tx.replace_newlines(c, " / "), lambda x: f"array_to_string({SQL_LINES(x)}, ' / ')")
 query("q_chunks", r"""WITH RECURSIVE cues AS (""" + CUES.format(s="VARCHAR") + r"""),
 g AS (SELECT file_id, pos, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws, 0 AS i, [] :: VARCHAR[] AS done, '' AS held FROM cues
  UNION ALL SELECT file_id, pos, ws, i + 1, CASE WHEN held <> '' AND strlen(held) + 1 + strlen(ws[i + 1]) > 20 THEN list_append(done, held) ELSE done END,
