@@ -33,7 +33,7 @@ from captrix.llm.positional_index import small
 LENGTH, GRAM = 400, 64
 HOT, STEP = 2000, 64
 #: Bytes of text that a shard holds on average, places that are hashed at once, bytes of text handled together.
-SHARD_BYTES, PIECE, BATCH_BYTES = 6 << 20, 1 << 20, 2 << 20
+SHARD_BYTES, PIECE, BATCH_BYTES = 3 << 20, 1 << 19, 7 << 16
 SEPARATOR = 0xFF  # in no UTF-8 text
 _R = 0x5851F42D4C957F2D
 _SPAN = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType())]))
@@ -56,7 +56,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
     """Hash of the ``gram`` bytes from every place on."""
     n = len(data)
-    up, down = _powers(1 << max(21, int(n).bit_length()))
+    up, down = _powers(1 << max(20, int(n).bit_length()))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
     return _mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
@@ -144,7 +144,7 @@ def runs_of(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in _cut(whole):
+            for b in _cut(whole, 500):
                 who, anchor, start, n, hits = anchor_runs([t.encode("utf-8") for t in b.column(2).to_pylist()], length)
                 owner = pa.array(who)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(owner), b.column(1).take(owner), pa.array(anchor.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(hits.astype(np.int32))],
@@ -159,7 +159,7 @@ def segments_of(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in _cut(whole, 200):
+            for b in _cut(whole, 100):
                 who, shards, starts, places, bodies = [], [], [], [], []
                 for i, (text, live) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
                     data = text.encode("utf-8")
@@ -224,7 +224,7 @@ def remove_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in _cut(whole, 500):
+            for b in _cut(whole, 200):
                 rows = []
                 for text, copies, places in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                     data = text.encode("utf-8")
