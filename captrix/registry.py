@@ -28,6 +28,10 @@ CUES = f"""SELECT CAST(conv_id AS {{s}}) AS file_id, CAST(row_number() OVER (PAR
 PLAIN = """SELECT CAST(conv_id AS {s}) AS file_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS pos, CAST(turn * 1500 + (length(text) % 10) * 40 AS BIGINT) AS start_ms,
  CAST(turn * 1500 + (length(text) % 10) * 40 + 400 + (length(text) % 7) * 100 AS BIGINT) AS end_ms,
  'x' || rtrim(substr({r}, 1, 80)) AS text FROM conversations WHERE turn < 30 AND text IS NOT NULL"""
+#: The same cues with their whole texts, of conversations of any length.
+WHOLE = """SELECT CAST(conv_id AS {s}) AS file_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS pos, CAST(turn * 1500 + (length(text) % 10) * 40 AS BIGINT) AS start_ms,
+ CAST(turn * 1500 + (length(text) % 10) * 40 + 400 + (length(text) % 7) * 100 AS BIGINT) AS end_ms,
+ 'x' || rtrim({r}) AS text FROM conversations WHERE text IS NOT NULL"""
 
 
 def _table(spark, sf_dir: str, sql: str) -> DataFrame:
@@ -39,8 +43,8 @@ def cues(spark, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, CUES.format(s="STRING"))
 
 
-def plain_cues(spark, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, PLAIN.format(s="STRING", r="regexp_replace(text, '[^A-Za-z0-9]+', ' ')"))
+def plain_cues(spark, sf_dir: str, base: str = PLAIN) -> DataFrame:
+    return _table(spark, sf_dir, base.format(s="STRING", r="regexp_replace(text, '[^A-Za-z0-9]+', ' ')"))
 
 
 def _with(sql: str, base: str = CUES) -> str:
@@ -48,13 +52,17 @@ def _with(sql: str, base: str = CUES) -> str:
     return f"WITH cues AS ({inner})\n{sql}"
 
 
-def query(name: str, oracle: str | None = None, base: str = CUES):
-    """Register a function of a cues table, with the SQL over ``cues`` that gives its rows."""
+def query(name: str, oracle: str | None = None, base: str = CUES, whole: str | None = None):
+    """Register a function of a cues table, with the SQL over ``cues`` that gives its rows.
+
+    A query over ``PLAIN`` gets a twin over ``WHOLE``, named with ``_whole``; ``whole`` is the twin's SQL where it is another.
+    """
 
     def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(cues(spark, sf_dir) if base is CUES else plain_cues(spark, sf_dir))
-        if oracle:
-            ORACLES[name] = oracle if oracle.lstrip().startswith("WITH") else _with(oracle, base)
+        for own, sql, rows in ((name, oracle, base), *([(f"{name}_whole", whole or oracle, WHOLE)] if base is PLAIN else [])):
+            QUERIES[own] = lambda spark, sf_dir, rows=rows: f(cues(spark, sf_dir) if rows is CUES else plain_cues(spark, sf_dir, rows))
+            if sql:
+                ORACLES[own] = sql if sql.lstrip().startswith("WITH") else _with(sql, rows)
         return f
 
     return add
@@ -276,6 +284,11 @@ query("q_timestamps", "SELECT file_id, count(*) AS n_cues, arg_min(start_ms, pos
 
 #: Drop-frame time code of times below a minute.
 SCC_TIME = lambda x: f"printf('00:00:%02d;%02d', round({x} * 29.97 / 1000)::BIGINT // 30, round({x} * 29.97 / 1000)::BIGINT % 30)"
+#: The same of any time.
+SCC_FRAMES = lambda x: f"round({x} % 3600000 * 29.97 / 1000)::BIGINT"
+SCC_MINUTE = lambda x: f"list_max(list_filter(range(0, 61), lambda k: k * 1800 - 2 * (k - k // 10) <= {SCC_FRAMES(x)}))"
+SCC_LEFT = lambda x: f"({SCC_FRAMES(x)} - ({SCC_MINUTE(x)} * 1800 - 2 * ({SCC_MINUTE(x)} - {SCC_MINUTE(x)} // 10)))"
+SCC_CLOCK = lambda x: f"printf('%02d:%02d:%02d;%02d', {x} // 3600000, {SCC_MINUTE(x)}, {SCC_LEFT(x)} // 30, {SCC_LEFT(x)} % 30)"
 TTML = ("'" + writers.ttml_text([], None).partition("    </div>")[0] + f"' || string_agg('      <p begin=\"' || {CLOCK('start_ms', '.')} || '\" end=\"' || {CLOCK('end_ms', '.')} || '\">' || text || '</p>', chr(10) ORDER BY pos) || '\n    </div>"
         + writers.ttml_text([], None).partition("    </div>")[2] + "'")
 WHISPER = ("'{\n  \"segments\": [\n' || string_agg('    {\n      \"avg_logprob\": -1.0,\n      \"compression_ratio\": 1.0,\n      \"end\": ' || (end_ms / 1000.0) || ',\n      \"id\": 0,\n      \"no_speech_prob\": 0.0,\n      \"seek\": 0,\n      \"start\": '"
@@ -295,8 +308,10 @@ RENDERED = {
            f" || ' 942f' || chr(10) || {SCC_TIME('end_ms')} || chr(9) || '942c' || chr(10) || chr(10), '' ORDER BY pos)",
     "ttml": TTML, "dfxp": TTML, "whisper": WHISPER, "ebu_stl": None,
 }
+DIGEST = lambda sql: f"SELECT file_id, sha256({sql}) AS digest FROM cues GROUP BY file_id"
+SCC_WHOLE = RENDERED["scc"].replace(SCC_TIME("start_ms"), SCC_CLOCK("start_ms")).replace(SCC_TIME("end_ms"), SCC_CLOCK("end_ms"))
 for _fmt, _sql in RENDERED.items():
-    query(f"q_render_{_fmt}", _sql and f"SELECT file_id, sha256({_sql}) AS digest FROM cues GROUP BY file_id", PLAIN)(lambda c, f=_fmt: writers.render(c, f).select("file_id", F.sha2(F.col("content").cast("binary"), 256).alias("digest")))
+    query(f"q_render_{_fmt}", _sql and DIGEST(_sql), PLAIN, DIGEST(SCC_WHOLE) if _fmt == "scc" else None)(lambda c, f=_fmt: writers.render(c, f).select("file_id", F.sha2(F.col("content").cast("binary"), 256).alias("digest")))
 
 EXACT = ("start_ms", "end_ms")
 TENTHS = ("start_ms // 10 * 10", "end_ms // 10 * 10")
@@ -312,7 +327,9 @@ def _round_trip(c: DataFrame, fmt: str) -> DataFrame:
 
 for _fmt in FORMATS:
     _a, _b = QUANTISED[_fmt]
-    query(f"q_roundtrip_{_fmt}", f"SELECT file_id, pos, {L(_a)} AS start_ms, {L(_b)} AS end_ms, text FROM cues", PLAIN)(lambda c, f=_fmt: _round_trip(c, f))
+    # the text field of EBU STL has 112 bytes
+    _stl = f"SELECT file_id, pos, {L(_a)} AS start_ms, {L(_b)} AS end_ms, rtrim(substr(text, 1, 112)) AS text FROM cues" if _fmt == "ebu_stl" else None
+    query(f"q_roundtrip_{_fmt}", f"SELECT file_id, pos, {L(_a)} AS start_ms, {L(_b)} AS end_ms, text FROM cues", PLAIN, _stl)(lambda c, f=_fmt: _round_trip(c, f))
 
 #: What detection says of files that the writers made. EBU STL heads are blank, and DFXP files have the TTML name space.
 DETECTED = {f: f for f in FORMATS} | {"ssa": "ass", "dfxp": "ttml", "ebu_stl": None}
@@ -327,7 +344,11 @@ def _detected(c: DataFrame) -> DataFrame:
     return out
 
 
-query("q_detect", "SELECT DISTINCT file_id, w AS written, d AS detected, 'UTF-8' AS encoding FROM cues, (VALUES " + ", ".join(f"('{k}', {chr(39) + v + chr(39) if v else 'NULL'})" for k, v in DETECTED.items()) + ") AS t(w, d)", PLAIN)(_detected)
+#: Block numbers from 128 on are no UTF-8. Up to 151 (0x97) they are letters of windows-1251; then no legacy encoding has them all, which counts as windows-1252.
+STL_ENCODING = "CASE WHEN n < 128 THEN 'UTF-8' WHEN n BETWEEN 129 AND 151 THEN 'windows-1251' ELSE 'windows-1252' END"
+DETECTED_ROWS = ", ".join(f"('{k}', {chr(39) + v + chr(39) if v else 'NULL'})" for k, v in DETECTED.items())
+query("q_detect", "SELECT DISTINCT file_id, w AS written, d AS detected, 'UTF-8' AS encoding FROM cues, (VALUES " + DETECTED_ROWS + ") AS t(w, d)", PLAIN,
+      f"SELECT file_id, w AS written, CASE WHEN w <> 'lrc' OR n < {detect.LRC_MAX_LINES} THEN d END AS detected, CASE WHEN w = 'ebu_stl' THEN {STL_ENCODING} ELSE 'UTF-8' END AS encoding FROM (SELECT file_id, count(*) AS n FROM cues GROUP BY file_id), (VALUES {DETECTED_ROWS}) AS t(w, d)")(_detected)
 
 
 @query("q_encoding", "SELECT file_id, pos, text || ' é' AS utf8, text || ' é' AS bom, text || ' é' AS utf16le, text || ' é' AS utf16be, 'UTF-8-BOM' AS bom_name, 'UTF-16LE' AS le_name, 'UTF-16BE' AS be_name FROM cues", PLAIN)
