@@ -274,6 +274,11 @@ TIMED = "end_ms > start_ms"
 query("q_quality_file", f"""SELECT file_id, count(*) AS total_subtitles, sum({N_ISSUES})::BIGINT AS total_issues, {L(f'floor(sum({DUR}) / count(*))')} AS avg_duration_ms, round(avg({CPS}), 4) AS avg_cps, round(avg({WPM}), 4) AS avg_wpm,
  CASE WHEN max({N_ISSUES}) > 0 THEN max(pos * 1 + {N_ISSUES} * 1000000) % 1000000 END AS worst_index FROM (SELECT *, lag(end_ms) OVER ({BY_POS}) AS pe FROM cues WHERE {TIMED}) GROUP BY file_id""")(
     lambda c: quality.quality_report(c.where(TIMED), 42, 500, 25.0).select("file_id", "total_subtitles", "total_issues", "avg_duration_ms", F.round("avg_cps", 4).alias("avg_cps"), F.round("avg_wpm", 4).alias("avg_wpm"), "worst_index"))
+#: The same of all cues; averages over a cue without duration are infinite, shown as null beside a flag.
+query("q_quality_file_whole", f"""SELECT file_id, count(*) AS total_subtitles, sum(n)::BIGINT AS total_issues, {L(f'floor(sum({DUR}) / count(*))')} AS avg_duration_ms, CASE WHEN min({DUR}) > 0 THEN round(avg({CPS}), 4) END AS avg_cps,
+ CASE WHEN min({DUR}) > 0 THEN round(avg({WPM}), 4) END AS avg_wpm, min({DUR}) = 0 AS is_inf, CASE WHEN max(n) > 0 THEN max(struct_pack(n := n, pos := pos)).pos END AS worst_index FROM (SELECT *, {N_ISSUES} AS n FROM {WITH_BEFORE}) GROUP BY file_id""")(
+    lambda c: quality.quality_report(c, 42, 500, 25.0).select("file_id", "total_subtitles", "total_issues", "avg_duration_ms", *[F.when(F.col(x) != float("inf"), F.round(x, 4)).alias(x) for x in ("avg_cps", "avg_wpm")],
+                                                              (F.col("avg_cps") == float("inf")).alias("is_inf"), "worst_index"))
 query("q_info", f"""{_with('').rstrip()}, i AS (SELECT file_id, count(*) AS n FROM ({ISSUES}) GROUP BY file_id)
 SELECT c.file_id, count(*) AS n_cues, arg_min(start_ms, pos) AS first_start_ms, arg_max(end_ms, pos) AS last_end_ms, {L(f'floor(sum({DUR}) / count(*))')} AS avg_duration_ms, {L(f'min({DUR})')} AS min_duration_ms, {L(f'max({DUR})')} AS max_duration_ms,
  sum(length(text))::BIGINT AS total_chars, {L('greatest(arg_max(end_ms, pos) - arg_min(start_ms, pos), 0)')} AS total_duration_ms, coalesce(max(i.n), 0)::BIGINT AS n_issues FROM cues c LEFT JOIN i ON i.file_id = c.file_id GROUP BY c.file_id""")(

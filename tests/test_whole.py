@@ -42,3 +42,9 @@ def test_round_trips_keep_long_texts_and_late_turns(spark, folder, fmt):
 def test_every_query_over_cut_cues_has_a_whole_twin():
     assert sum(f"{n}_whole" in registry.QUERIES for n in registry.QUERIES if n.startswith(("q_render_", "q_roundtrip_")) and not n.endswith("_whole")) == 14 + 15
     assert all(f"{n}_whole" in registry.QUERIES for n in ("q_detect", "q_encoding", "q_extension", "q_parse_errors", "q_json"))
+
+
+def test_quality_counts_cues_without_duration(spark, folder):
+    got = {r["file_id"]: r for r in registry.QUERIES["q_quality_file_whole"](spark, folder).collect()}
+    assert {k: r["total_subtitles"] for k, r in got.items()} == {"1": 40, "2": 600, "3": 9, "4": 3, "5": 140}
+    assert got["4"]["is_inf"] and got["4"]["avg_cps"] is None and got["4"]["total_issues"] >= 3
