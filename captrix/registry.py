@@ -184,7 +184,15 @@ def _parse_timestamp(c):
 SELECT *, frames - (m * 1800 - 2 * (m - m // 10)) AS left_ FROM (SELECT *, list_max(list_filter(range(0, 61), lambda k: k * 1800 - 2 * (k - k // 10) <= frames)) AS m FROM (
 SELECT file_id, pos, start_ms, round(start_ms % 3600000 * 29.97 / 1000)::BIGINT AS frames FROM cues WHERE start_ms < 3600000)))""")
 def _scc_timecode(c):
-    d = c.where("start_ms < 3600000").select(*KEY, tc.ms_to_scc_timecode(F.col("start_ms"), F.lit(True)).alias("timecode"))
+    return _scc_timecodes(c.where("start_ms < 3600000"))
+
+
+#: The same of all hours; an hour has 107,892 frames exactly.
+@query("q_scc_timecode_whole", f"""SELECT file_id, pos, printf('%02d:%02d:%02d;%02d', h, m, left_ // 30, left_ % 30) AS timecode, {L('round((h * 107892 + left_ + m * 1800 - 2 * (m - m // 10)) / 29.97 * 1000)')} AS ms FROM (
+SELECT *, frames - (m * 1800 - 2 * (m - m // 10)) AS left_ FROM (SELECT *, list_max(list_filter(range(0, 61), lambda k: k * 1800 - 2 * (k - k // 10) <= frames)) AS m FROM (
+SELECT file_id, pos, start_ms // 3600000 AS h, round(start_ms % 3600000 * 29.97 / 1000)::BIGINT AS frames FROM cues)))""")
+def _scc_timecodes(c):
+    d = c.select(*KEY, tc.ms_to_scc_timecode(F.col("start_ms"), F.lit(True)).alias("timecode"))
     n = lambda k: F.get(F.split("timecode", "[:;]"), F.lit(k)).cast("long")
     return d.withColumn("ms", tc.scc_timecode_to_ms(n(0), n(1), n(2), n(3), F.lit(True)))
 
@@ -207,12 +215,22 @@ query("q_translate", "SELECT file_id, pos, '[x] ' || text AS text FROM cues")(la
 
 # Filters and ordered edits
 
+
+def _repeated(c: DataFrame) -> DataFrame:
+    twice = c.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).where((F.col("k") == 0) | (F.col("pos") % 3 != 2))
+    return twice.withColumns({"pos": F.col("pos") * 2 + F.col("k"), "text": F.when(F.col("k") == 1, F.concat(F.lit(" "), "text", F.lit("  "))).otherwise(F.col("text"))}).drop("k")
+
+
 query("q_sort", f"SELECT file_id, {L(NEW_POS)} AS pos, start_ms, end_ms, text FROM cues")(lambda c: edit.sort(c).select(*TIMES, "text"))
 query("q_filter", f"SELECT file_id, {L(f'row_number() OVER ({BY_POS}) - 1')} AS pos, text FROM cues WHERE end_ms > start_ms")(lambda c: edit.filter_cues(c, F.col("end_ms") > F.col("start_ms")).select(*KEY, "text"))
 query("q_filter_empty", rf"SELECT file_id, {L(f'row_number() OVER ({BY_POS}) - 1')} AS pos, text FROM (SELECT file_id, pos, CASE WHEN pos % 3 = 0 THEN '  ' ELSE text END AS text FROM cues) WHERE {TRIM('text')} <> ''")(
     lambda c: edit.filter_empty(c.withColumn("text", F.when(F.col("pos") % 3 == 0, "  ").otherwise(F.col("text")))).select(*KEY, "text"))
 query("q_dedup", f"""SELECT file_id, {L(f'row_number() OVER ({BY_POS}) - 1')} AS pos, text FROM (SELECT *, lag(text) OVER ({BY_POS}) AS before FROM (SELECT file_id, pos, substr(text, 1, 2) AS text FROM cues))
 WHERE before IS NULL OR {TRIM('before')} <> {TRIM('text')}""")(lambda c: edit.remove_duplicates(c.withColumn("text", F.substring("text", 1, 2))).select(*KEY, "text"))
+#: The same of whole texts, each but every third with a copy in other white space behind it.
+REPEATED = "SELECT file_id, pos * 2 + k AS pos, CASE k WHEN 1 THEN ' ' || text || '  ' ELSE text END AS text FROM cues, (VALUES (0), (1)) AS t(k) WHERE k = 0 OR pos % 3 <> 2"
+query("q_dedup_whole", f"""SELECT file_id, {L(f'row_number() OVER ({BY_POS}) - 1')} AS pos, text FROM (SELECT *, lag(text) OVER ({BY_POS}) AS before, lag(pos) OVER ({BY_POS}) AS place FROM ({REPEATED}))
+WHERE place IS NULL OR {TRIM('before')} IS DISTINCT FROM {TRIM('text')}""")(lambda c: edit.remove_duplicates(_repeated(c)).select(*KEY, "text"))
 query("q_extract_range", f"SELECT file_id, {L(f'row_number() OVER ({BY_POS}) - 1')} AS pos, {L('greatest(start_ms, 3000)')} AS start_ms, {L('least(end_ms, 9000)')} AS end_ms FROM cues WHERE start_ms < 9000 AND end_ms > 3000")(
     lambda c: edit.extract_range(c, 3000, 9000).select(*TIMES))
 query("q_remove_overlaps", f"SELECT file_id, {L(NEW_POS)} AS pos, {L(f'greatest(start_ms, coalesce(lag(end_ms) OVER ({BY_TIME}), 0))')} AS start_ms, end_ms FROM cues")(lambda c: edit.remove_overlaps(c).select(*TIMES))

@@ -48,3 +48,13 @@ def test_quality_counts_cues_without_duration(spark, folder):
     got = {r["file_id"]: r for r in registry.QUERIES["q_quality_file_whole"](spark, folder).collect()}
     assert {k: r["total_subtitles"] for k, r in got.items()} == {"1": 40, "2": 600, "3": 9, "4": 3, "5": 140}
     assert got["4"]["is_inf"] and got["4"]["avg_cps"] is None and got["4"]["total_issues"] >= 3
+
+
+def test_dedup_compares_whole_texts(spark, folder):
+    got = registry.QUERIES["q_dedup_whole"](spark, folder).collect()
+    assert len(got) == 792 and max(len(r["text"]) for r in got) > len(LONG)
+
+
+def test_scc_timecodes_of_later_hours(spark, folder):
+    got = registry.QUERIES["q_scc_timecode_whole"](spark, folder)
+    assert got.count() == 792 and got.where("timecode >= '01'").count() == 4
