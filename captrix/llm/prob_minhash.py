@@ -4,6 +4,8 @@ A document is a bag of five-word shingles, weighted by 1 + ln(count). Every shin
 rate is its weight, each to a random register, and a register keeps the shingle that came first. A shingle stops as soon
 as its next arrival is later than all registers' (early termination), so a signature costs about n + m log m steps. The
 share of equal registers estimates the probability Jaccard similarity. Bands of ``ROWS`` registers are hashed into buckets.
+Links are by the sets of shingles, whose similarity may be higher than that of the bags. So a text that repeats a shingle also has
+the bands of its set, all weights 1; without repeats both are the same, and any two texts meet by their sets at least.
 
 Links: exact copies are one node (the smallest doc_id among them). Two texts are linked if the Jaccard similarity of their
 shingle sets, computed from the whole texts, is at least ``SIMILARITY`` = s. Each bucket's members are verified against its
@@ -104,17 +106,21 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def signatures(texts: list[str], registers: int = BANDS * ROWS) -> tuple[np.ndarray, np.ndarray]:
     """ProbMinHash signatures (texts x registers) and the numbers of distinct shingles."""
     owner, h, count = shingles(texts)
-    sizes = np.bincount(owner, minlength=len(texts))
-    times = np.full(len(texts) * registers, np.inf)
-    ids = np.zeros(len(texts) * registers, np.uint64)
+    return _registers(owner, h, count, len(texts), registers), np.bincount(owner, minlength=len(texts))
+
+
+def _registers(owner: np.ndarray, h: np.ndarray, count: np.ndarray, n: int, registers: int = BANDS * ROWS) -> np.ndarray:
+    sizes = np.bincount(owner, minlength=n)
+    times = np.full(n * registers, np.inf)
+    ids = np.zeros(n * registers, np.uint64)
     alone = sizes[owner] == 1
     for d, x in zip(owner[alone], h[alone], strict=True):
         ids[d * registers : (d + 1) * registers] = x
     live = np.flatnonzero(~alone)
     owner, h, rate = owner[live], h[live], 1 + np.log(count[live])
     at, step = np.zeros(len(h)), 0
-    latest = np.full(len(texts), np.inf)
-    table = times.reshape(len(texts), registers)
+    latest = np.full(n, np.inf)
+    table = times.reshape(n, registers)
     while len(h):
         step += 1
         r = _mix(h + np.uint64((step * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))
@@ -129,7 +135,24 @@ def signatures(texts: list[str], registers: int = BANDS * ROWS) -> tuple[np.ndar
         latest[docs] = table[docs].max(axis=1)
         stay = at < latest[owner]
         owner, h, rate, at = owner[stay], h[stay], rate[stay], at[stay]
-    return ids.reshape(len(texts), registers), sizes
+    return ids.reshape(n, registers)
+
+
+def text_bands(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket hash) of all distinct buckets, ordered by text: of the bag, and of the set where a shingle repeats."""
+    owner, h, count = shingles(texts)
+    whole = bands_of(_registers(owner, h, count, len(texts)))
+    some = np.unique(owner)
+    who, made = np.repeat(some, BANDS), whole[some].reshape(-1)
+    again = np.unique(owner[count > 1])
+    if len(again):
+        own = np.isin(owner, again)
+        more = bands_of(_registers(np.searchsorted(again, owner[own]), h[own], np.ones(own.sum(), np.int64), len(again)))
+        who, made = np.concatenate([who, np.repeat(again, BANDS)]), np.concatenate([made, more.reshape(-1)])
+    order = np.lexsort((made, who))
+    who, made = who[order], made[order]
+    new = np.concatenate([[True], (who[1:] != who[:-1]) | (made[1:] != made[:-1])])[: len(who)]
+    return who[new], made[new]
 
 
 def bands_of(ids: np.ndarray, bands: int = BANDS) -> np.ndarray:
@@ -149,11 +172,9 @@ def sign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_ROWS):
                 part = whole.slice(at, BATCH_ROWS)
-                ids, sizes = signatures(part.column(3).to_pylist())
-                made = bands_of(ids)
-                keep = sizes > 0
-                offsets = np.concatenate([[0], np.cumsum(keep * BANDS)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(made[keep].reshape(-1)))
+                who, made = text_bands(part.column(3).to_pylist())
+                offsets = np.searchsorted(who, np.arange(part.num_rows + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(made))
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], lists], names=["d", "a", "b", "bands"])
 
     schema = T.StructType([rows.schema["d"], rows.schema["a"], rows.schema["b"], T.StructField("bands", T.ArrayType(T.LongType()))])

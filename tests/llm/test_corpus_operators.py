@@ -152,3 +152,13 @@ def test_sql_gives_the_same(spark, name):
     got = QUERIES[name](spark, SF)
     assert sorted(got.columns) == sorted(names)
     assert sorted(map(repr, (tuple(r) for r in got.select(*names).collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_near_copies_with_unlike_counts_meet(spark, folder):
+    """Two texts of one set of shingles, 30 of which one repeats 2 times and the other 50 times."""
+    rows = []
+    for k in range(40):
+        ring, tail = " ".join(f"r{k}x{i}" for i in range(30)) + " ", " ".join(f"t{k}x{i}" for i in range(70))
+        rows += [(2 * k, ring * 2 + tail), (2 * k + 1, ring * 50 + tail)]
+    found = prob_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string"), folder).collect()
+    assert {r["d"]: r["class"] for r in found} == {i: i // 2 * 2 for i in range(80)}
