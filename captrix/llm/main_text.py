@@ -4,7 +4,8 @@ Markup is stripped into lines, one per block element or line break; what HTML na
 forms, navigation, footers, sidebars and elements whose class, id or role says so) goes with the markup. Then the text
 lengths of each window of ``WINDOW`` lines are summed. The text surges where a sum reaches ``SURGE`` and dives where the
 sums of the following windows fall to nothing; what lies between the first surge and the last dive is kept, widened to
-the article or main element that it lies in. A page whose text never surges keeps all its lines.
+the article or main element that it lies in. Block tags in a row leave one empty line at most, so nesting parts nothing from
+the text; line breaks leave one each. A page whose text never surges keeps all its lines.
 
 Edge cases: null or empty html gives the empty text; elements that are never closed end with their parent, or, at the end
 of the page, are not dropped (footers, scripts and styles are); character references are decoded once; any white space
@@ -101,11 +102,12 @@ def lines_of(page: str) -> list[tuple[str, int]]:
     parts: list[str] = []
     containers: list[tuple[int, int, str]] = []
 
-    def finish() -> None:
+    def finish(line_break: bool = False) -> None:
         text = SPACES.sub(" ", entities.unescape("".join(parts))).strip()
         parts.clear()
         own = next((c for c in containers if c[2] == "article"), containers[0] if containers else (-1,))
-        lines.append((text, own[0]))
+        if text or line_break or not lines or lines[-1][0]:
+            lines.append((text, own[0]))
 
     k = 0
     while k < len(tokens):
@@ -115,7 +117,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         if kind == "t":
             parts.append(text)
         elif name not in INLINE:
-            finish()
+            finish(name == "br")
             if kind == "o" and name not in VOID:
                 if _no_content(name, attributes, bool(containers)):
                     end = ends.get(k, len(tokens) if name == "footer" else None)

@@ -210,3 +210,9 @@ def test_main_text(spark):
 def test_digests_of_queries(spark):
     for name, f in (("op2", piece_codec.op2), ("op8", dac_tokens.op8)):
         assert f(spark, "/root/testdata/sf0.001").count() > 0, name
+
+
+def test_main_text_of_nested_blocks_without_article():
+    long = "long words of the page " * 8
+    page = f"<div><h1>Title</h1></div><div><div><p>{long}</p></div></div><div><p>The end.</p></div>"
+    assert main_text.main_text(page) == f"Title\n{long.strip()}\nThe end."
