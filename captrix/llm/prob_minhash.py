@@ -11,9 +11,10 @@ Links: exact copies are one node (the smallest doc_id among them). Two texts are
 shingle sets, computed from the whole texts, is at least ``SIMILARITY`` = s. Each bucket's members are verified against its
 leader L, its smallest node. What this leaves open is settled by counting. Let U be L and all shingles that at least
 ``LONG`` of L's members have. A pair x, y shares at most min(|x & U|, |y & U|) shingles within U, and needs s / (1 + s) (|x| + |y|) to be
-linked. So either it shares a shingle outside U, and the members of each such short list are compared, or both hold enough of U,
-which is a comparison of counts. Long lists get leaders of their own before. Near copies with changes of their own share
-nothing outside U, so a group's work follows its members and not their pairs, yet every linked pair under one leader is found.
+linked. So either it shares a shingle outside U, which then stands among the first of both (``short_lists``), or both hold enough of U,
+which is a comparison of counts (``within``). Long lists get leaders of their own before. Both filters only drop pairs that counts
+prove unlinked, so every linked pair under one leader is found. What is left to verify are pairs close to the threshold in
+different components. Their number follows the members of a group as long as few of its texts are that close without being linked.
 
 Edge cases: texts of one to four words are one shingle; null and empty texts have none, and are classed by equality alone;
 rows that share a doc_id are one document and share a class; a row without id takes the class of its exact copies, or
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from captrix.llm.common import read, shared_folder, stored
 from captrix.llm.positional_index import small
@@ -37,6 +39,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 8
 #: Members from which on a list of one shingle is long.
 LONG = 16
+#: Blocks of shingle hashes, in bits.
+BLOCK_BITS = 6
 BATCH_ROWS = 500
 _R = 0x5851F42D4C957F2D
 _SPACES = np.zeros(256, bool)
@@ -181,33 +185,46 @@ def sign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     return rows.mapInArrow(run, schema)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """x, y, sim, nx, ny, common (numbers of shingles), own (x's shingles that y lacks) of pairs (x, y) of doc_ids, from the whole texts."""
-    ids = pairs.select(F.col("x").alias("d")).unionByName(pairs.select(F.col("y").alias("d"))).distinct()
-    texts = docs.select(F.col(doc_id).alias("d"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).join(small(ids), "d", "left_semi")
-    both = pairs.join(texts.select(F.col("d").alias("x"), F.col("t").alias("tx")), "x").join(texts.select(F.col("d").alias("y"), F.col("t").alias("ty")), "y").select("x", "y", "tx", "ty")
+def bags(docs: DataFrame, ids: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """d, bag (the sorted shingle hashes of the whole text) of the documents in ``ids`` (column d), stored."""
+    chosen = docs.select(F.col(doc_id).alias("d"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).join(small(ids), "d", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                part = whole.slice(at, BATCH_ROWS)
+                owner, h, _ = shingles(part.column(1).to_pylist())
+                offsets = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))], names=["d", "bag"])
+
+    made = chosen.mapInArrow(run, T.StructType([chosen.schema["d"], T.StructField("bag", T.ArrayType(T.LongType()))]))
+    return stored(made, folder, "bags")
+
+
+def verify(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """x, y, sim, nx, ny, common (numbers of shingles), own (x's shingles that y lacks), blocks (the common ones by block of their
+    hash) of pairs (x, y), from the whole texts' shingles in ``known``. Rows that share an id are variants of one document: any may match."""
+    bag = lambda k: known.select(F.col("d").alias(k), F.col("bag").alias(f"b{k}"))
+    both = pairs.select("x", "y").join(bag("x"), "x").join(bag("y"), "y").select("x", "y", "bx", "by")
     numbers = ["nx", "ny", "common"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_ROWS):
                 part = whole.slice(at, BATCH_ROWS)
-                tx, ty = part.column(2).to_pylist(), part.column(3).to_pylist()
-                where = {t: i for i, t in enumerate(dict.fromkeys([*tx, *ty]))}
-                owner, h, _ = shingles(list(where))
-                cut = np.searchsorted(owner, np.arange(len(where) + 1))
-                bag = lambda t: h[cut[where[t]] : cut[where[t] + 1]]
                 rows = []
-                for u, v in zip(tx, ty, strict=True):
-                    x, y = bag(u), bag(v)
-                    own = np.setdiff1d(x, y, assume_unique=True)
-                    common = len(x) - len(own)
-                    rows.append((common / max(1, len(x) + len(y) - common), len(x), len(y), common, own.view(np.int64)))
+                for u, v in zip(part.column(2), part.column(3), strict=True):
+                    x, y = (np.asarray(k.values).view(np.uint64) for k in (u, v))
+                    has = np.isin(x, y, assume_unique=True)
+                    common = int(has.sum())
+                    blocks = np.bincount((x[has] >> np.uint64(64 - BLOCK_BITS)).astype(np.int64), minlength=1 << BLOCK_BITS)
+                    rows.append((common / max(1, len(x) + len(y) - common), len(x), len(y), common, x[~has].view(np.int64), blocks))
                 made = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made[0], pa.float64()), *[pa.array(c, pa.int64()) for c in made[1:4]], pa.array(made[4], pa.list_(pa.int64()))],
-                                                 names=["x", "y", "sim", *numbers, "own"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made[0], pa.float64()), *[pa.array(c, pa.int64()) for c in made[1:4]], pa.array(made[4], pa.list_(pa.int64())), pa.array(made[5], pa.list_(pa.int32()))],
+                                                 names=["x", "y", "sim", *numbers, "own", "blocks"])
 
-    kinds = [both.schema["x"], both.schema["y"], T.StructField("sim", T.DoubleType()), *[T.StructField(c, T.LongType()) for c in numbers], T.StructField("own", T.ArrayType(T.LongType()))]
+    kinds = [both.schema["x"], both.schema["y"], T.StructField("sim", T.DoubleType()), *[T.StructField(c, T.LongType()) for c in numbers],
+             T.StructField("own", T.ArrayType(T.LongType())), T.StructField("blocks", T.ArrayType(T.IntegerType()))]
     return both.mapInArrow(run, T.StructType(kinds))
 
 
@@ -236,20 +253,22 @@ def classes(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "t
     members = marked.where(F.col("d") == F.col("node")).select("node", F.explode("bands").alias("bucket"))
     leaders = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("last > leader").select("bucket", "leader")
     shared = members.join(leaders, "bucket").where("node <> leader")
-    stars = shared.select(F.col("node").alias("x"), F.col("leader").alias("y")).distinct()
-    tested = stored(verify(stars, docs, doc_id, text), folder, "stars")
+    stars = stored(shared.select(F.col("node").alias("x"), F.col("leader").alias("y")).distinct(), folder, "pairs")
+    known = bags(docs, stored(stars.select(F.explode(F.array("x", "y")).alias("d")).distinct(), folder, "ids"), folder, doc_id, text)
+    tested = stored(verify(stars, known), folder, "stars")
     links = tested.where(F.col("sim") >= threshold).select("x", "y")
     labels = components(links, folder, "first")
     # What the leaders leave open: shingles outside the leader first, by leaders of their lists, then what is still open.
     lists = stored(outside(tested, labels), folder, "lists")
     heads = lists.groupBy("leader", "shingle").agg(F.min("x").alias("y"))
-    more = verify(lists.join(heads, ["leader", "shingle"]).where("x <> y").select("x", "y").distinct(), docs, doc_id, text)
-    more = stored(more.drop("own"), folder, "heads").where(F.col("sim") >= threshold).select("x", "y")
-    labels = components(links.unionByName(more), folder, "second")
-    open_ = short_lists(lists, labels, threshold).unionByName(within(tested, lists, labels, threshold)).distinct()
-    rest = stored(verify(open_, docs, doc_id, text).drop("own"), folder, "rest").where(F.col("sim") >= threshold).select("x", "y")
+    more = verify(lists.join(heads, ["leader", "shingle"]).where("x <> y").select("x", "y").distinct(), known)
+    more = stored(more.drop("own", "blocks"), folder, "heads").where(F.col("sim") >= threshold).select("x", "y")
+    links = links.unionByName(more)
+    labels = components(links, folder, "second")
+    open_ = short_lists(tested, lists, labels, threshold).unionByName(within(tested, lists, labels, threshold)).distinct()
+    rest = stored(verify(open_, known).drop("own", "blocks"), folder, "rest").where(F.col("sim") >= threshold).select("x", "y")
     if rest.limit(1).count():
-        labels = components(links.unionByName(more).unionByName(rest), folder, "all")
+        labels = components(links.unionByName(rest), folder, "all")
     rows = marked.select("d", "a", "b", "node")
     return rows.join(labels, "node", "left").select("d", "a", "b", "node", F.coalesce("class", "node").alias("class"))
 
@@ -262,37 +281,55 @@ def _placed(tested: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def outside(tested: DataFrame, labels: DataFrame) -> DataFrame:
-    """leader, shingle, x, nx, size: lists of the shingles that members have and their leader lacks, where a list spans components."""
-    entries = _placed(tested, labels).select("leader", "x", "class", "nx", F.explode("own").alias("shingle"))
+    """leader, shingle, x, size: lists of the shingles that members have and their leader lacks, where a list spans components."""
+    entries = _placed(tested, labels).select("leader", "x", "class", F.explode("own").alias("shingle"))
     mixed = entries.groupBy("leader", "shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("leader", "shingle", "size")
-    return entries.join(mixed, ["leader", "shingle"]).select("leader", "shingle", "x", "nx", "size")
+    return entries.join(mixed, ["leader", "shingle"]).select("leader", "shingle", "x", "size")
 
 
-def short_lists(lists: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """x, y in one short list and still in different components. A list has fewer than ``LONG`` members."""
-    own = lists.where(F.col("size") < LONG).join(labels.withColumnRenamed("node", "x"), "x", "left").withColumn("class", F.coalesce("class", "x"))
-    other = own.select("leader", "shingle", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("class").alias("cy"))
-    sizes = F.least("nx", "ny") >= threshold * F.greatest("nx", "ny")
-    return own.join(other, ["leader", "shingle"]).where((F.col("x") < F.col("y")) & (F.col("class") != F.col("cy")) & sizes).select("x", "y")
+def _long_counts(lists: DataFrame) -> DataFrame:
+    """leader, x, long, short: how many of a member's shingles outside the leader stand in long and in short lists."""
+    is_long = (F.col("size") >= LONG).cast("long")
+    return lists.groupBy("leader", "x").agg(F.sum(is_long).alias("long"), F.sum(1 - is_long).alias("short"))
+
+
+def short_lists(tested: DataFrame, lists: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """x, y in different components that may be linked and share a shingle of a short list.
+
+    A member's shingles are ordered: first those that no other component has, then short lists from the shortest on, then U. Of two
+    linked texts the first shared shingle stands among the first (1 - s) n + 1 of both (prefix filter), and what they share
+    is at most their shares of U and what both have from that shingle on (positional filter).
+    """
+    counts = _long_counts(lists)
+    facts = _placed(tested, labels).join(counts, ["leader", "x"]).select("leader", "x", "nx", "class", "short", (F.col("common") + F.col("long")).alias("held"))
+    ranked = lists.where(F.col("size") < LONG).withColumn("nth", F.row_number().over(Window.partitionBy("leader", "x").orderBy("size", "shingle")))
+    own = ranked.join(facts, ["leader", "x"]).withColumn("rank", F.col("nx") - F.col("held") - F.col("short") + F.col("nth"))
+    own = own.where(F.col("rank") <= F.floor((1 - threshold) * F.col("nx") + 1e-9) + 1).select("leader", "shingle", "x", "nx", "class", "held", (F.col("short") - F.col("nth") + 1).alias("left"))
+    other = own.select("leader", "shingle", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("class").alias("cy"), F.col("held").alias("hy"), F.col("left").alias("ly"))
+    most = F.least("held", "hy") + F.least("left", "ly")
+    fits = most >= threshold / (1 + threshold) * (F.col("nx") + F.col("ny")) - 1e-6
+    return own.join(other, ["leader", "shingle"]).where((F.col("x") < F.col("y")) & (F.col("class") != F.col("cy")) & fits).select("x", "y")
 
 
 def within(tested: DataFrame, lists: DataFrame, labels: DataFrame, threshold: float, width: float = 1.02) -> DataFrame:
     """x, y in different components under one leader, x outside the leader's, that both hold enough of U.
 
     y is found by its size, in steps of ``width``: at least threshold * |x|, at most what x's share of U allows. Shingles of
-    lists within one component count as outside U: only pairs of different components matter, and they share none.
+    lists within one component count as outside U: only pairs of different components matter, and they share none. Of the leader's
+    shingles two members share at most the sum of the smaller counts of each block, which tells changes in different places apart.
     """
     share = threshold / (1 + threshold)
-    long = lists.where(F.col("size") >= LONG).groupBy("leader", "x").agg(F.count("*").alias("long"))
-    placed = _placed(tested, labels).where("nx > 0").select("leader", "x", "nx", "common", "class", "leads").join(long, ["leader", "x"], "left")
-    placed = placed.withColumn("common", F.col("common") + F.coalesce("long", F.lit(0)))
+    placed = _placed(tested, labels).where("nx > 0").select("leader", "x", "nx", "common", "blocks", "class", "leads").join(_long_counts(lists), ["leader", "x"], "left")
+    placed = placed.withColumn("long", F.coalesce("long", F.lit(0).cast("long"))).withColumn("held", F.col("common") + F.col("long"))
     step = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(width)))
-    most = F.col("common") / share - F.col("nx")
+    most = F.col("held") / share - F.col("nx")
     able = placed.where(most >= threshold * F.col("nx") - 1e-6).withColumn("most", most + 1e-6)
     out = able.where("class <> leads").withColumn("bin", F.explode(F.sequence(step(threshold * F.col("nx")), step(F.greatest("most", threshold * F.col("nx"))))))
-    every = able.select("leader", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("most").alias("most_y"), F.col("class").alias("class_y"), step(F.col("nx")).alias("bin"))
+    every = able.select("leader", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("most").alias("most_y"), F.col("class").alias("class_y"), F.col("long").alias("long_y"), F.col("blocks").alias("blocks_y"), step(F.col("nx")).alias("bin"))
     fits = (F.col("most") >= F.col("ny")) & (F.col("most_y") >= F.col("nx"))
-    return out.join(every, ["leader", "bin"]).where((F.col("class") != F.col("class_y")) & fits).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    held = F.aggregate(F.zip_with("blocks", "blocks_y", lambda p, q: F.least(p, q)), F.least("long", "long_y"), lambda a, x: a + x.cast("long"))
+    met = out.join(every, ["leader", "bin"]).where((F.col("class") != F.col("class_y")) & fits & (held >= share * (F.col("nx") + F.col("ny")) - 1e-6))
+    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
@@ -302,10 +339,18 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the document with the smallest id stays, once; rows without an id and class stay, once each text."""
-    out = classes(docs, shared_folder(spark))
-    gone = out.where("d IS NOT NULL AND class <> d OR d IS NULL AND class IS NOT NULL").select("d", "a", "b").distinct()
+    """Pipeline stage: of each class the document with the smallest id stays, once; rows without an id and class stay, once each text.
+
+    Rows travel in a struct, so other columns may have any names. Only ids and hashes are compared; texts are shuffled only of
+    rows that stay and stand more than once.
+    """
+    folder = shared_folder(spark)
+    found = stored(classes(docs, folder), folder, "classes")
+    gone = found.where("d IS NOT NULL AND class <> d OR d IS NULL AND class IS NOT NULL").select(F.col("d").alias("gd"), F.col("a").alias("ga"), F.col("b").alias("gb")).distinct()
+    twice = found.groupBy("d", "a", "b").agg(F.count("*").alias("n")).where("n > 1").select(F.col("d").alias("gd"), F.col("a").alias("ga"), F.col("b").alias("gb"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    tied = docs.withColumns({"_a": F.xxhash64(text), "_b": F.hash(text)})
-    kept = tied.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_a") == F.col("a")) & (F.col("_b") == F.col("b")), "left_anti")
-    return kept.dropDuplicates(["doc_id", "_a", "_b"]).drop("_a", "_b")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d"), F.xxhash64(text).alias("a"), F.hash(text).alias("b"))
+    same = F.col("d").eqNullSafe(F.col("gd")) & (F.col("a") == F.col("ga")) & (F.col("b") == F.col("gb"))
+    kept, repeated = rows.join(small(gone), same, "left_anti"), small(twice)
+    once = kept.join(repeated, same, "left_anti").select("row.*")
+    return once.unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["d", "a", "b"]).select("row.*"))
