@@ -50,7 +50,8 @@ def filter_cues(cues: DataFrame, condition: Column) -> DataFrame:
 
 
 def filter_empty(cues: DataFrame) -> DataFrame:
-    return _renumber(cues.where(~is_empty(F.col("text"))))
+    """Without cues whose text is null or white space."""
+    return _renumber(cues.where(~is_empty(F.coalesce("text", F.lit("")))))
 
 
 def remove_duplicates(cues: DataFrame) -> DataFrame:

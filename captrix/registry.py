@@ -24,12 +24,8 @@ START = "turn * 2500 + (length(text) * 37) % 4000"
 CUES = f"""SELECT CAST(conv_id AS {{s}}) AS file_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS pos, CAST({START} AS BIGINT) AS start_ms,
  CAST(CASE WHEN length(text) % 17 = 0 THEN {START} WHEN length(text) % 19 = 0 THEN greatest({START} - 100, 0) ELSE {START} + (length(text) * 53) % 4001 END AS BIGINT) AS end_ms,
  CASE turn % 4 WHEN 0 THEN '<i>' || text || '</i>' WHEN 1 THEN '[NOISE] ' || text WHEN 2 THEN 'JOHN: ' || text ELSE '{{{{b1}}}}' || text END AS text FROM conversations"""
-#: Cues that every format can hold: one line of ASCII, ends after starts, below a minute.
+#: Cues that every format can hold: whole texts as one line of ASCII, ends after starts; conversations of any length.
 PLAIN = """SELECT CAST(conv_id AS {s}) AS file_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS pos, CAST(turn * 1500 + (length(text) % 10) * 40 AS BIGINT) AS start_ms,
- CAST(turn * 1500 + (length(text) % 10) * 40 + 400 + (length(text) % 7) * 100 AS BIGINT) AS end_ms,
- 'x' || rtrim(substr({r}, 1, 80)) AS text FROM conversations WHERE turn < 30 AND text IS NOT NULL"""
-#: The same cues with their whole texts, of conversations of any length.
-WHOLE = """SELECT CAST(conv_id AS {s}) AS file_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS pos, CAST(turn * 1500 + (length(text) % 10) * 40 AS BIGINT) AS start_ms,
  CAST(turn * 1500 + (length(text) % 10) * 40 + 400 + (length(text) % 7) * 100 AS BIGINT) AS end_ms,
  'x' || rtrim({r}) AS text FROM conversations WHERE text IS NOT NULL"""
 
@@ -43,8 +39,8 @@ def cues(spark, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, CUES.format(s="STRING"))
 
 
-def plain_cues(spark, sf_dir: str, base: str = PLAIN) -> DataFrame:
-    return _table(spark, sf_dir, base.format(s="STRING", r="regexp_replace(text, '[^A-Za-z0-9]+', ' ')"))
+def plain_cues(spark, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, PLAIN.format(s="STRING", r="regexp_replace(text, '[^A-Za-z0-9]+', ' ')"))
 
 
 def _with(sql: str, base: str = CUES) -> str:
@@ -52,17 +48,13 @@ def _with(sql: str, base: str = CUES) -> str:
     return f"WITH cues AS ({inner})\n{sql}"
 
 
-def query(name: str, oracle: str | None = None, base: str = CUES, whole: str | None = None):
-    """Register a function of a cues table, with the SQL over ``cues`` that gives its rows.
-
-    A query over ``PLAIN`` gets a twin over ``WHOLE``, named with ``_whole``; ``whole`` is the twin's SQL where it is another.
-    """
+def query(name: str, oracle: str | None = None, base: str = CUES):
+    """Register a function of a cues table, with the SQL over ``cues`` that gives its rows."""
 
     def add(f):
-        for own, sql, rows in ((name, oracle, base), *([(f"{name}_whole", whole or oracle, WHOLE)] if base is PLAIN else [])):
-            QUERIES[own] = lambda spark, sf_dir, rows=rows: f(cues(spark, sf_dir) if rows is CUES else plain_cues(spark, sf_dir, rows))
-            if sql:
-                ORACLES[own] = sql if sql.lstrip().startswith("WITH") else _with(sql, rows)
+        QUERIES[name] = lambda spark, sf_dir: f((cues if base is CUES else plain_cues)(spark, sf_dir))
+        if oracle:
+            ORACLES[name] = oracle if oracle.lstrip().startswith("WITH") else _with(oracle, base)
         return f
 
     return add
@@ -180,15 +172,8 @@ def _parse_timestamp(c):
     return c.select(*KEY, tc.parse_timestamps(line).alias("t")).select(*KEY, F.col("t.start").alias("start_ms"), F.col("t.end").alias("end_ms"), "t.settings")
 
 
-@query("q_scc_timecode", f"""SELECT file_id, pos, printf('%02d:%02d:%02d;%02d', start_ms // 3600000, m, left_ // 30, left_ % 30) AS timecode, {L('round((left_ + m * 1800 - 2 * (m - m // 10)) / 29.97 * 1000)')} AS ms FROM (
-SELECT *, frames - (m * 1800 - 2 * (m - m // 10)) AS left_ FROM (SELECT *, list_max(list_filter(range(0, 61), lambda k: k * 1800 - 2 * (k - k // 10) <= frames)) AS m FROM (
-SELECT file_id, pos, start_ms, round(start_ms % 3600000 * 29.97 / 1000)::BIGINT AS frames FROM cues WHERE start_ms < 3600000)))""")
-def _scc_timecode(c):
-    return _scc_timecodes(c.where("start_ms < 3600000"))
-
-
-#: The same of all hours; an hour has 107,892 frames exactly.
-@query("q_scc_timecode_whole", f"""SELECT file_id, pos, printf('%02d:%02d:%02d;%02d', h, m, left_ // 30, left_ % 30) AS timecode, {L('round((h * 107892 + left_ + m * 1800 - 2 * (m - m // 10)) / 29.97 * 1000)')} AS ms FROM (
+#: An hour has 107,892 frames exactly.
+@query("q_scc_timecode", f"""SELECT file_id, pos, printf('%02d:%02d:%02d;%02d', h, m, left_ // 30, left_ % 30) AS timecode, {L('round((h * 107892 + left_ + m * 1800 - 2 * (m - m // 10)) / 29.97 * 1000)')} AS ms FROM (
 SELECT *, frames - (m * 1800 - 2 * (m - m // 10)) AS left_ FROM (SELECT *, list_max(list_filter(range(0, 61), lambda k: k * 1800 - 2 * (k - k // 10) <= frames)) AS m FROM (
 SELECT file_id, pos, start_ms // 3600000 AS h, round(start_ms % 3600000 * 29.97 / 1000)::BIGINT AS frames FROM cues)))""")
 def _scc_timecodes(c):
@@ -225,11 +210,9 @@ query("q_sort", f"SELECT file_id, {L(NEW_POS)} AS pos, start_ms, end_ms, text FR
 query("q_filter", f"SELECT file_id, {L(f'row_number() OVER ({BY_POS}) - 1')} AS pos, text FROM cues WHERE end_ms > start_ms")(lambda c: edit.filter_cues(c, F.col("end_ms") > F.col("start_ms")).select(*KEY, "text"))
 query("q_filter_empty", rf"SELECT file_id, {L(f'row_number() OVER ({BY_POS}) - 1')} AS pos, text FROM (SELECT file_id, pos, CASE WHEN pos % 3 = 0 THEN '  ' ELSE text END AS text FROM cues) WHERE {TRIM('text')} <> ''")(
     lambda c: edit.filter_empty(c.withColumn("text", F.when(F.col("pos") % 3 == 0, "  ").otherwise(F.col("text")))).select(*KEY, "text"))
-query("q_dedup", f"""SELECT file_id, {L(f'row_number() OVER ({BY_POS}) - 1')} AS pos, text FROM (SELECT *, lag(text) OVER ({BY_POS}) AS before FROM (SELECT file_id, pos, substr(text, 1, 2) AS text FROM cues))
-WHERE before IS NULL OR {TRIM('before')} <> {TRIM('text')}""")(lambda c: edit.remove_duplicates(c.withColumn("text", F.substring("text", 1, 2))).select(*KEY, "text"))
-#: The same of whole texts, each but every third with a copy in other white space behind it.
+#: Whole texts, each but every third with a copy in other white space behind it.
 REPEATED = "SELECT file_id, pos * 2 + k AS pos, CASE k WHEN 1 THEN ' ' || text || '  ' ELSE text END AS text FROM cues, (VALUES (0), (1)) AS t(k) WHERE k = 0 OR pos % 3 <> 2"
-query("q_dedup_whole", f"""SELECT file_id, {L(f'row_number() OVER ({BY_POS}) - 1')} AS pos, text FROM (SELECT *, lag(text) OVER ({BY_POS}) AS before, lag(pos) OVER ({BY_POS}) AS place FROM ({REPEATED}))
+query("q_dedup", f"""SELECT file_id, {L(f'row_number() OVER ({BY_POS}) - 1')} AS pos, text FROM (SELECT *, lag(text) OVER ({BY_POS}) AS before, lag(pos) OVER ({BY_POS}) AS place FROM ({REPEATED}))
 WHERE place IS NULL OR {TRIM('before')} IS DISTINCT FROM {TRIM('text')}""")(lambda c: edit.remove_duplicates(_repeated(c)).select(*KEY, "text"))
 query("q_extract_range", f"SELECT file_id, {L(f'row_number() OVER ({BY_POS}) - 1')} AS pos, {L('greatest(start_ms, 3000)')} AS start_ms, {L('least(end_ms, 9000)')} AS end_ms FROM cues WHERE start_ms < 9000 AND end_ms > 3000")(
     lambda c: edit.extract_range(c, 3000, 9000).select(*TIMES))
@@ -288,12 +271,8 @@ WITH_BEFORE = f"(SELECT *, lag(end_ms) OVER ({BY_POS}) AS pe FROM cues)"
 query("q_quality_cue", f"""SELECT file_id, pos AS index, {L(DUR)} AS duration_ms, {L(f'length({PLAINTEXT})')} AS char_count, {L(WORDS(PLAINTEXT))} AS word_count, {L(N_ISSUES)} AS n_issues,
  length(text) > 42 AND NOT contains(text, chr(10)) AS has_poor_line_break FROM {WITH_BEFORE}""")(
     lambda c: quality.quality_cues(c, 42, 500, 25.0).select("file_id", "index", "duration_ms", "char_count", "word_count", "n_issues", "has_poor_line_break"))
-TIMED = "end_ms > start_ms"
-query("q_quality_file", f"""SELECT file_id, count(*) AS total_subtitles, sum({N_ISSUES})::BIGINT AS total_issues, {L(f'floor(sum({DUR}) / count(*))')} AS avg_duration_ms, round(avg({CPS}), 4) AS avg_cps, round(avg({WPM}), 4) AS avg_wpm,
- CASE WHEN max({N_ISSUES}) > 0 THEN max(pos * 1 + {N_ISSUES} * 1000000) % 1000000 END AS worst_index FROM (SELECT *, lag(end_ms) OVER ({BY_POS}) AS pe FROM cues WHERE {TIMED}) GROUP BY file_id""")(
-    lambda c: quality.quality_report(c.where(TIMED), 42, 500, 25.0).select("file_id", "total_subtitles", "total_issues", "avg_duration_ms", F.round("avg_cps", 4).alias("avg_cps"), F.round("avg_wpm", 4).alias("avg_wpm"), "worst_index"))
-#: The same of all cues; averages over a cue without duration are infinite, shown as null beside a flag.
-query("q_quality_file_whole", f"""SELECT file_id, count(*) AS total_subtitles, sum(n)::BIGINT AS total_issues, {L(f'floor(sum({DUR}) / count(*))')} AS avg_duration_ms, CASE WHEN min({DUR}) > 0 THEN round(avg({CPS}), 4) END AS avg_cps,
+#: All cues count; averages over a cue without duration are infinite, shown as null beside a flag.
+query("q_quality_file", f"""SELECT file_id, count(*) AS total_subtitles, sum(n)::BIGINT AS total_issues, {L(f'floor(sum({DUR}) / count(*))')} AS avg_duration_ms, CASE WHEN min({DUR}) > 0 THEN round(avg({CPS}), 4) END AS avg_cps,
  CASE WHEN min({DUR}) > 0 THEN round(avg({WPM}), 4) END AS avg_wpm, min({DUR}) = 0 AS is_inf, CASE WHEN max(n) > 0 THEN max(struct_pack(n := n, pos := pos)).pos END AS worst_index FROM (SELECT *, {N_ISSUES} AS n FROM {WITH_BEFORE}) GROUP BY file_id""")(
     lambda c: quality.quality_report(c, 42, 500, 25.0).select("file_id", "total_subtitles", "total_issues", "avg_duration_ms", *[F.when(F.col(x) != float("inf"), F.round(x, 4)).alias(x) for x in ("avg_cps", "avg_wpm")],
                                                               (F.col("avg_cps") == float("inf")).alias("is_inf"), "worst_index"))
@@ -305,9 +284,7 @@ query("q_timestamps", "SELECT file_id, count(*) AS n_cues, arg_min(start_ms, pos
 
 # Writers and parsers
 
-#: Drop-frame time code of times below a minute.
-SCC_TIME = lambda x: f"printf('00:00:%02d;%02d', round({x} * 29.97 / 1000)::BIGINT // 30, round({x} * 29.97 / 1000)::BIGINT % 30)"
-#: The same of any time.
+#: Drop-frame time code.
 SCC_FRAMES = lambda x: f"round({x} % 3600000 * 29.97 / 1000)::BIGINT"
 SCC_MINUTE = lambda x: f"list_max(list_filter(range(0, 61), lambda k: k * 1800 - 2 * (k - k // 10) <= {SCC_FRAMES(x)}))"
 SCC_LEFT = lambda x: f"({SCC_FRAMES(x)} - ({SCC_MINUTE(x)} * 1800 - 2 * ({SCC_MINUTE(x)} - {SCC_MINUTE(x)} // 10)))"
@@ -327,14 +304,13 @@ RENDERED = {
     "subviewer": "'" + writers.SUBVIEWER_HEAD.format(author="captrix") + f"\n\n' || string_agg({HUNDREDTHS('start_ms', '%02d')} || ',' || {HUNDREDTHS('end_ms', '%02d')} || chr(10) || text || chr(10) || chr(10), '' ORDER BY pos)",
     "ass": "'[Script Info]\n" + writers.ASS_INFO + "\n[V4+ Styles]\n" + writers.ASS_STYLE_FORMAT + writers.style_line(writers.DEFAULT_STYLE) + "\n[Events]\n" + writers.ASS_EVENT_FORMAT
            + f"' || string_agg('Dialogue: 0,' || {HUNDREDTHS('start_ms')} || ',' || {HUNDREDTHS('end_ms')} || ',Default,,0,0,0,,' || text || chr(10), '' ORDER BY pos)",
-    "scc": f"'Scenarist_SCC V1.0' || chr(10) || chr(10) || string_agg({SCC_TIME('start_ms')} || chr(9) || '9420 94ad ' || array_to_string(list_transform(string_split(text, ''), lambda c: printf('%04X', ascii(c))), ' ')"
-           f" || ' 942f' || chr(10) || {SCC_TIME('end_ms')} || chr(9) || '942c' || chr(10) || chr(10), '' ORDER BY pos)",
+    "scc": f"'Scenarist_SCC V1.0' || chr(10) || chr(10) || string_agg({SCC_CLOCK('start_ms')} || chr(9) || '9420 94ad ' || array_to_string(list_transform(string_split(text, ''), lambda c: printf('%04X', ascii(c))), ' ')"
+           f" || ' 942f' || chr(10) || {SCC_CLOCK('end_ms')} || chr(9) || '942c' || chr(10) || chr(10), '' ORDER BY pos)",
     "ttml": TTML, "dfxp": TTML, "whisper": WHISPER, "ebu_stl": None,
 }
 DIGEST = lambda sql: f"SELECT file_id, sha256({sql}) AS digest FROM cues GROUP BY file_id"
-SCC_WHOLE = RENDERED["scc"].replace(SCC_TIME("start_ms"), SCC_CLOCK("start_ms")).replace(SCC_TIME("end_ms"), SCC_CLOCK("end_ms"))
 for _fmt, _sql in RENDERED.items():
-    query(f"q_render_{_fmt}", _sql and DIGEST(_sql), PLAIN, DIGEST(SCC_WHOLE) if _fmt == "scc" else None)(lambda c, f=_fmt: writers.render(c, f).select("file_id", F.sha2(F.col("content").cast("binary"), 256).alias("digest")))
+    query(f"q_render_{_fmt}", _sql and DIGEST(_sql), PLAIN)(lambda c, f=_fmt: writers.render(c, f).select("file_id", F.sha2(F.col("content").cast("binary"), 256).alias("digest")))
 
 EXACT = ("start_ms", "end_ms")
 TENTHS = ("start_ms // 10 * 10", "end_ms // 10 * 10")
@@ -350,28 +326,54 @@ def _round_trip(c: DataFrame, fmt: str) -> DataFrame:
 
 for _fmt in FORMATS:
     _a, _b = QUANTISED[_fmt]
-    # the text field of EBU STL has 112 bytes
-    _stl = f"SELECT file_id, pos, {L(_a)} AS start_ms, {L(_b)} AS end_ms, rtrim(substr(text, 1, 112)) AS text FROM cues" if _fmt == "ebu_stl" else None
-    query(f"q_roundtrip_{_fmt}", f"SELECT file_id, pos, {L(_a)} AS start_ms, {L(_b)} AS end_ms, text FROM cues", PLAIN, _stl)(lambda c, f=_fmt: _round_trip(c, f))
+    query(f"q_roundtrip_{_fmt}", f"SELECT file_id, pos, {L(_a)} AS start_ms, {L(_b)} AS end_ms, text FROM cues", PLAIN)(lambda c, f=_fmt: _round_trip(c, f))
 
 #: What detection says of files that the writers made. EBU STL heads are blank, and DFXP files have the TTML name space.
 DETECTED = {f: f for f in FORMATS} | {"ssa": "ass", "dfxp": "ttml", "ebu_stl": None}
 
 
 def _detected(c: DataFrame) -> DataFrame:
-    out = None
+    c, out = c.repartition("file_id"), None  # one exchange, which all formats use
     for f in FORMATS:
         one = writers.render(c, f).select("file_id", F.lit(f).alias("written"), F.col("content").cast("binary").alias("content"))
-        one = one.select("file_id", "written", detect.detect_format(F.col("content")).alias("detected"), encoding.detect_encoding(F.col("content")).alias("encoding"))
+        name = F.lit(None).cast("string") if f == "ebu_stl" else encoding.detect_encoding(F.col("content"))  # its bytes are no text
+        one = one.select("file_id", "written", detect.detect_format(F.col("content")).alias("detected"), name.alias("encoding"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-#: Block numbers from 128 on are no UTF-8. Up to 151 (0x97) they are letters of windows-1251; then no legacy encoding has them all, which counts as windows-1252.
-STL_ENCODING = "CASE WHEN n < 128 THEN 'UTF-8' WHEN n BETWEEN 129 AND 151 THEN 'windows-1251' ELSE 'windows-1252' END"
 DETECTED_ROWS = ", ".join(f"('{k}', {chr(39) + v + chr(39) if v else 'NULL'})" for k, v in DETECTED.items())
-query("q_detect", "SELECT DISTINCT file_id, w AS written, d AS detected, 'UTF-8' AS encoding FROM cues, (VALUES " + DETECTED_ROWS + ") AS t(w, d)", PLAIN,
-      f"SELECT file_id, w AS written, CASE WHEN w <> 'lrc' OR n < {detect.LRC_MAX_LINES} THEN d END AS detected, CASE WHEN w = 'ebu_stl' THEN {STL_ENCODING} ELSE 'UTF-8' END AS encoding FROM (SELECT file_id, count(*) AS n FROM cues GROUP BY file_id), (VALUES {DETECTED_ROWS}) AS t(w, d)")(_detected)
+query("q_detect", f"""SELECT file_id, w AS written, CASE WHEN w <> 'lrc' OR n < {detect.LRC_MAX_LINES} THEN d END AS detected, CASE WHEN w <> 'ebu_stl' THEN 'UTF-8' END AS encoding
+FROM (SELECT file_id, count(*) AS n FROM cues GROUP BY file_id), (VALUES {DETECTED_ROWS}) AS t(w, d)""", PLAIN)(_detected)
+
+
+#: Files that the writers do not make: with DFXP's name space, a script without styles, EBU STL with a head that counts its blocks.
+@query("q_detect_other", "SELECT file_id, w AS written, CASE WHEN w <> 'ebu_stl' OR n < 65536 THEN w END AS detected FROM (SELECT file_id, count(*) AS n FROM cues GROUP BY file_id), (VALUES ('dfxp'), ('ssa'), ('ebu_stl')) AS t(w)", PLAIN)
+def _detected_other(c):
+    c = c.repartition("file_id")
+    made = lambda f, content: writers.render(c, f).select("file_id", F.lit(f).alias("written"), content.cast("binary").alias("content"))
+    blocks = F.expr("(octet_length(content) - 1024) div 128")
+    head = F.concat(F.unhex(F.lit("00")), F.unhex(F.lpad(F.hex(blocks % 65536), 4, "0")))
+    rows = made("dfxp", F.replace(F.col("content"), F.lit(detect.TTML), F.lit(detect.DFXP[1]))).unionByName(made("ssa", F.replace(F.col("content"), F.lit("V4+ Styles"), F.lit("Styles"))))
+    rows = rows.unionByName(made("ebu_stl", F.concat(head, F.substring(F.col("content"), 4, 1 << 30))))
+    return rows.select("file_id", "written", detect.detect_format(F.col("content")).alias("detected"))
+
+
+#: Texts that are no UTF-8 in these encodings: codec, name, text.
+LEGACY = [
+    ("cp1252", "windows-1252", "Über die Brücke"), ("cp1252", "windows-1252", "garçon français"), ("cp1252", "windows-1252", "Déjà vu à l’école"), ("cp1252", "windows-1252", "El niño comió piñas"),
+    ("cp1252", "windows-1252", "“Quotes” – it’s fine"), ("cp1250", "windows-1250", "Příliš žluťoučký kůň"), ("cp1250", "windows-1250", "Dziękuję, gdzie jest łazienka?"), ("cp1251", "windows-1251", "Привет, как дела?"),
+    ("koi8_u", "KOI8-U", "Я не знаю, что сказать"), ("cp1253", "windows-1253", "Δεν ξέρω τι να πω"), ("cp1254", "windows-1254", "Bugün hava çok güzel, değil mi"), ("cp1255", "windows-1255", "אני לא יודע מה לומר"),
+    ("cp1256", "windows-1256", "مرحبا كيف حالك اليوم"), ("shift_jis", "Shift_JIS", "ありがとうございます"), ("euc_jp", "EUC-JP", "こんにちは、元気ですか"), ("gb18030", "GBK", "今天天气很好，我们去公园吧"), ("big5", "Big5", "我不知道該說什麼"),
+    ("euc_kr", "EUC-KR", "안녕하세요, 잘 지내세요?"),
+]
+LEGACY_ROWS = ", ".join(f"({k}, '{name}', '{text}')" for k, (_, name, text) in enumerate(LEGACY))
+
+
+@query("q_encoding_legacy", f"SELECT file_id, pos, name AS encoding, t.text AS text FROM cues JOIN (VALUES {LEGACY_ROWS}) AS t(k, name, text) ON t.k = (cues.file_id::BIGINT + pos) % {len(LEGACY)}", PLAIN)
+def _legacy(c):
+    content = F.element_at(F.array(*[F.unhex(F.lit(text.encode(codec).hex())) for codec, _, text in LEGACY]), ((F.col("file_id").cast("long") + F.col("pos")) % len(LEGACY) + 1).cast("int"))
+    return c.select(*KEY, encoding.detect_encoding(content).alias("encoding"), encoding.decode_to_string(content).alias("text"))
 
 
 @query("q_encoding", "SELECT file_id, pos, text || ' é' AS utf8, text || ' é' AS bom, text || ' é' AS utf16le, text || ' é' AS utf16be, 'UTF-8-BOM' AS bom_name, 'UTF-16LE' AS le_name, 'UTF-16BE' AS be_name FROM cues", PLAIN)

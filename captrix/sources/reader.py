@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,26 @@ _META = [f for f in FILES if f.name not in ("file_id", "path", "format", "encodi
 PARSED = T.StructType([FILES["file_id"], FILES["path"], FILES["format"], FILES["encoding"], *_META, T.StructField("cues", T.ArrayType(_CUE_FIELDS))])
 
 
+@dataclass(frozen=True)
+class ParseConfig:
+    """What parsing does with numbers, failures, encodings and durations; a bound of 0 is none."""
+
+    preserve_indices: bool = False
+    lenient_mode: bool = False
+    auto_detect_encoding: bool = True
+    max_duration_ms: int = 0
+    min_duration_ms: int = 0
+
+    def apply(self, cues: DataFrame) -> DataFrame:
+        """Number cues from 1 unless their numbers are to stay, and bound their durations; times stay in order of the file."""
+        lasts = F.col("end_ms") - F.col("start_ms")
+        if self.max_duration_ms:
+            cues = cues.withColumn("end_ms", F.when(lasts > self.max_duration_ms, F.col("start_ms") + self.max_duration_ms).otherwise(F.col("end_ms")))
+        if self.min_duration_ms:
+            cues = cues.withColumn("end_ms", F.when(lasts < self.min_duration_ms, F.col("start_ms") + self.min_duration_ms).otherwise(F.col("end_ms")))
+        return cues if self.preserve_indices else cues.withColumn("index", F.col("pos") + 1)
+
+
 def _row(pos: int, c: Cue) -> dict:
     return {"pos": pos, "index": c.index, "start_ms": c.start, "end_ms": c.end, "text": c.text, "settings": c.settings, "text_parts": c.parts or None, "style": c.style, "actor": c.actor, "is_comment": c.comment}
 
@@ -77,6 +98,16 @@ def read_cues(spark: SparkSession, paths: str | list[str], fmt: str | None = Non
     return cues_of(read_parsed(spark, paths, fmt, fps, mode))
 
 
+def read_with(spark: SparkSession, paths: str | list[str], config: ParseConfig, fmt: str | None = None, fps: float | None = None) -> DataFrame:
+    """Cues of all files under ``paths`` by a configuration. Without detection of the encoding, a file that is no UTF-8 fails as any broken file."""
+    rows = with_formats(read_binary(spark, paths), fmt)
+    if not config.auto_detect_encoding:
+        broken = (F.col("format") != "ebu_stl") & ~F.is_valid_utf8(F.col("content").cast("string"))
+        # bytes that nothing decodes: the mark of UTF-16 and half a character
+        rows = rows.withColumn("content", F.when(broken, F.unhex(F.lit("FFFE00D8"))).otherwise(F.col("content")))
+    return config.apply(cues_of(parse_files(rows, fps, "PERMISSIVE" if config.lenient_mode else "FAILFAST")))
+
+
 def parse_texts(df: DataFrame, fmt: str, file_id: str = "file_id", text: str = "text", fps: float | None = None, mode: str = "PERMISSIVE") -> DataFrame:
     """Parsed rows of texts that are a column already (strings, or bytes for EBU STL)."""
     rows = df.select(F.col(file_id).cast("string").alias("file_id"), F.lit(None).cast("string").alias("path"), F.lit(canonical_format(fmt)).alias("format"), F.lit("UTF-8").alias("encoding"), F.col(text).cast("binary").alias("content"))

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
+import os
+import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,7 +57,7 @@ def style_column(s: Column) -> Column:
 
 def cue_text(fmt: str, fps: float = DEFAULT_FPS, stored_index: bool = False) -> Column:
     """One cue's part of a line-based file. Needs ``start_ms``, ``end_ms``, ``text``, ``pos`` and the cue's other columns."""
-    start, end, text = F.col("start_ms"), F.col("end_ms"), F.col("text")
+    start, end, text = F.col("start_ms"), F.col("end_ms"), F.coalesce("text", F.lit(""))
     number = F.coalesce(F.col("index"), F.col("pos") + 1) if stored_index else F.col("pos") + 1
     times = lambda style: F.concat(tc.format_timestamp(start, style), F.lit(" --> "), tc.format_timestamp(end, style))
     frames = lambda a, b: (F.format_string("%s%d%s", F.lit(a), tc.ms_to_frames(start, fps), F.lit(b)), F.format_string("%s%d%s", F.lit(a), tc.ms_to_frames(end, fps), F.lit(b)))
@@ -139,23 +143,30 @@ def ttml_text(rows: list[dict], header: str | None) -> str:
 
 
 def whisper_text(rows: list[dict]) -> str:
-    segments = [{"avg_logprob": -1.0, "compression_ratio": 1.0, "end": r["end_ms"] / 1000.0, "id": r["index"] or 0, "no_speech_prob": 0.0, "seek": 0, "start": r["start_ms"] / 1000.0, "temperature": 0.0, "text": r["text"], "tokens": []}
+    segments = [{"avg_logprob": -1.0, "compression_ratio": 1.0, "end": r["end_ms"] / 1000.0, "id": r["index"] or 0, "no_speech_prob": 0.0, "seek": 0, "start": r["start_ms"] / 1000.0, "temperature": 0.0, "text": r["text"] or "", "tokens": []}
                 for r in rows]
-    return json.dumps({"segments": segments, "text": " ".join(r["text"] for r in rows)}, indent=2, ensure_ascii=False)
+    return json.dumps({"segments": segments, "text": " ".join(r["text"] or "" for r in rows)}, indent=2, ensure_ascii=False)
+
+
+STL_TEXT = 112
 
 
 def stl_bytes(rows: list[dict]) -> bytes:
+    """Head and text blocks; a text of more than ``STL_TEXT`` bytes goes on in extension blocks, the last of which is marked FF."""
     out = [bytes(1024)]
     for i, r in enumerate(rows, 1):
-        block = bytearray(128)
-        block[1:3] = (i & 0xFFFF).to_bytes(2, "big")
-        for at, ms in ((3, r["start_ms"]), (7, r["end_ms"])):
-            n = int(ms / 1000.0 * 25.0 + 0.5)
-            block[at : at + 4] = bytes([n // 90000 & 255, n // 1500 % 60, n // 25 % 60, n % 25])
-        block[14] = 20
-        text = (r["text"] or "").encode("utf-8")[:112]
-        block[16 : 16 + len(text)] = text
-        out.append(bytes(block))
+        text = (r["text"] or "").encode("utf-8")
+        parts = [text[k : k + STL_TEXT] for k in range(0, len(text), STL_TEXT)] or [b""]
+        for k, part in enumerate(parts):
+            block = bytearray(128)
+            block[1:3] = (i % 0xFFFF).to_bytes(2, "big")
+            for at, ms in ((3, r["start_ms"]), (7, r["end_ms"])):
+                n = int(ms / 1000.0 * 25.0 + 0.5)
+                block[at : at + 4] = bytes([n // 90000 & 255, n // 1500 % 60, n // 25 % 60, n % 25])
+            block[12] = 0 if len(parts) == 1 else 0xFF if k == len(parts) - 1 else min(k, 0xEF)
+            block[14] = 20
+            block[16 : 16 + len(part)] = part
+            out.append(bytes(block))
     return b"".join(out)
 
 
@@ -179,13 +190,62 @@ def _render_python(cues: DataFrame, fmt: str, files: DataFrame | None) -> DataFr
 
 #: Write policies and Spark's save modes.
 POLICIES = {"overwrite": "overwrite", "refuse_if_exists": "errorifexists", "append": "append"}
+FILE_ENDING = {"ebu_stl": "stl", "microdvd": "sub", "subviewer": "sub", "sami": "smi", "mpl2": "mpl", "whisper": "json"}
 
 
 def write(rendered: DataFrame, path: str, policy: str = "overwrite") -> None:
-    """Write rendered files as Parquet (file_id, content) under a policy; texts and EBU STL bytes alike."""
+    """Write rendered files as one Parquet table (file_id, content) under a policy; texts and EBU STL bytes alike."""
     rendered.write.mode(POLICIES[policy]).parquet(path)
 
 
+def write_files(rendered: DataFrame, folder: str, fmt: str, policy: str = "overwrite", name: Column | None = None) -> int:
+    """Write every rendered file in its format, from the executors; returns the number of files.
+
+    A file is called ``name``, or its file_id with all but letters, digits and ``_.-~`` percent-encoded, plus the format's ending.
+    ``refuse_if_exists`` raises where a path exists, ``append`` adds behind what is there (SubRip: behind an empty line). New contents are written
+    beside the path and moved to it, and a mark says that a file is done, so that a repeated task leaves whole files and adds nothing twice.
+    ``folder`` must be shared by all machines and known to pyarrow's file systems.
+    """
+    if policy not in POLICIES:
+        raise ValueError(f"unknown write policy: {policy}")
+    ending = FILE_ENDING.get(canonical_format(fmt), canonical_format(fmt))
+    between = b"\n" if ending == "srt" else b""
+    uri, call = folder if "://" in folder else f"file://{os.path.abspath(folder)}", uuid.uuid4().hex
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        system, base = fs.FileSystem.from_uri(uri)
+        system.create_dir(f"{base}/.{call}", recursive=True)
+        exists = lambda path: system.get_file_info(path).type == fs.FileType.File
+        attempt = TaskContext.get().taskAttemptId()
+        for pdf in batches:
+            for file_id, own, content in zip(pdf["file_id"], pdf["name"], pdf["content"], strict=True):
+                called = f"{own if own is not None else quote(str(file_id), safe='~')}.{ending}"
+                path, mark = f"{base}/{called}", f"{base}/.{call}/{called}"
+                if exists(mark):
+                    continue
+                there, data = exists(path), bytes(content)
+                if there and policy == "refuse_if_exists":
+                    raise FileExistsError(path)
+                if there and policy == "append":
+                    with system.open_input_stream(path) as f:
+                        data = f.read() + between + data
+                with system.open_output_stream(f"{mark}.{attempt}") as f:
+                    f.write(data)
+                system.move(f"{mark}.{attempt}", path)
+                system.open_output_stream(mark).close()
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    rows = rendered.select("file_id", (name if name is not None else F.lit(None)).cast("string").alias("name"), F.col("content").cast("binary").alias("content"))
+    try:
+        return rows.mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+    finally:
+        system, base = fs.FileSystem.from_uri(uri)
+        if system.get_file_info(f"{base}/.{call}").type == fs.FileType.Directory:
+            system.delete_dir(f"{base}/.{call}")
+
+
 def to_json(df: DataFrame) -> DataFrame:
     """One JSON text a row, nulls left out: of cues, issues or reports."""
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "true"}).alias("value"))

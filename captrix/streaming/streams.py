@@ -1,9 +1,10 @@
 """Timed text as it arrives: files through the batch parsers, and unbounded cues with keyed state.
 
-``read_stream`` is stateless: a file is one row, so the batch parser runs on each and the result equals the batch's.
-``dedup_stream`` and ``merge_stream`` keep a row of state for each file: the last text, or the open run of cues. Cues of a
-file must arrive in the order of ``pos`` from batch to batch; within a batch they are sorted. The merge emits a run when a later cue
-opens the next one, or when the event-time watermark passes the run's end (or, without a watermark, at ``flush`` rows).
+``read_stream`` is stateless: a file is one row, so the batch parser runs on each and the result equals the batch's; ``write_stream`` writes
+each micro-batch's files in a format. ``dedup_stream`` and ``merge_stream`` keep a row of state for each file: the last text, or the open run of
+cues and the number of runs so far. Cues of a file must arrive in the order of ``pos`` from batch to batch; within a batch they
+are sorted. The merge emits a run when a later cue opens the next one, when a closing mark ends the file, or when the watermark passes the
+event time of the run's last cue by more than the gap. A null text is the empty text, as in batch edits.
 """
 
 from __future__ import annotations
@@ -16,7 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from captrix.sources.reader import cues_of, parse_files, with_formats
+from captrix.sources.writers import render, write_files
 
+#: White space as batch edits trim it.
+OUTER_SPACE = r"^[\s\x85]+|[\s\x85]+$"
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 SIMPLE = "file_id string, pos long, start_ms long, end_ms long, text string"
 
@@ -27,8 +31,17 @@ def read_stream(spark: SparkSession, path: str, fmt: str | None = None, fps: flo
     return cues_of(parse_files(with_formats(binary, fmt), fps, mode))
 
 
-def write_stream(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """Each micro-batch to a batch writer, once."""
+def write_stream(stream: DataFrame, folder: str, fmt: str, checkpoint: str, policy: str = "overwrite", **options):
+    """Cues of whole files (as ``read_stream`` gives them) to one file each in ``fmt``; a repeated micro-batch overwrites what it wrote."""
+
+    def sink(cues: DataFrame, batch: int) -> None:
+        write_files(render(cues, fmt, **options), folder, fmt, policy)
+
+    return foreach_stream(stream, sink, checkpoint)
+
+
+def foreach_stream(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
+    """Each micro-batch to a batch writer of one's own."""
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).start()
 
 
@@ -36,54 +49,67 @@ def dedup_stream(cues: DataFrame) -> DataFrame:
     """Cues whose trimmed text differs from the one before in the file."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
         pdf = pd.concat(list(batches)).sort_values("pos")
-        trimmed = pdf["text"].str.strip()
+        trimmed = pdf["text"].fillna("").str.replace(OUTER_SPACE, "", regex=True)
         before = trimmed.shift(1)
-        before.iloc[0] = last
+        same = trimmed == before
+        same.iloc[0] = state.exists and trimmed.iloc[0] == state.get[0]
         state.update((trimmed.iloc[-1],))
-        yield pdf[trimmed != before]
+        yield pdf[~same]
 
     simple = cues.select(*[f.split()[0] for f in SIMPLE.split(", ")])
     return simple.groupBy("file_id").applyInPandasWithState(run, SIMPLE, "last string", "append", GroupStateTimeout.NoTimeout)
 
 
-def merge_stream(cues: DataFrame, max_gap_ms: int, event_time: str | None = None, delay: str = "1 minute") -> DataFrame:
+def merge_stream(cues: DataFrame, max_gap_ms: int, event_time: str | None = None, delay: str = "1 minute", keep: str = "1 day") -> DataFrame:
     """Runs of cues at most a gap apart, as ``merge_adjacent`` gives them once all input is there.
 
-    A cue with the text null closes its file's run (a batch source without a watermark sends one to end a file).
+    A cue without a start ends its file (``close_marks``), as a source without a watermark needs it. With ``event_time`` a run also ends
+    when the watermark is more than the gap past the event time of its last cue; runs of a file that goes on are numbered on. What is known of a
+    file without an open run is forgotten when the watermark is ``keep`` past its last cue.
     """
     names = [f.split()[0] for f in SIMPLE.split(", ")]
+    keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        open_ = list(state.get) if state.exists else None
+        pos, seen, *open_ = state.get if state.exists else (0, 0, None, None, None)
         done = []
+
+        def close() -> None:
+            nonlocal pos, open_
+            if open_[0] is not None:
+                done.append((key[0], pos, *open_))
+                pos, open_ = pos + 1, [None, None, None]
+
         if state.hasTimedOut:
-            done.append((key[0], *open_))
-            state.remove()
+            idle = open_[0] is None
+            close()
+            if idle:
+                state.remove()
+                yield pd.DataFrame(done, columns=names)
+                return
         else:
-            for r in pd.concat(list(batches)).sort_values(["start_ms", "end_ms", "pos"], na_position="last").itertuples(index=False):
-                if r.text is None:
-                    if open_:
-                        done.append((key[0], *open_))
-                    open_ = None
-                elif open_ and max(r.start_ms - open_[2], 0) <= max_gap_ms:
-                    open_[2], open_[3] = int(r.end_ms), f"{open_[3]}\n{r.text}"
+            for r in pd.concat(list(batches)).sort_values(["start_ms", "end_ms", "pos"], na_position="last").to_dict("records"):
+                if event_time and not pd.isna(r[event_time]):
+                    seen = max(seen, int(pd.Timestamp(r[event_time]).timestamp() * 1000))
+                if pd.isna(r["start_ms"]):
+                    close()
+                    continue
+                text = [] if r["text"] is None else [r["text"]]
+                if open_[0] is not None and max(r["start_ms"] - open_[1], 0) <= max_gap_ms:
+                    open_ = [open_[0], int(r["end_ms"]), "\n".join([*([open_[2]] if open_[2] is not None else []), *text]) if text or open_[2] is not None else None]
                 else:
-                    if open_:
-                        done.append((key[0], *open_))
-                    open_ = [(open_[0] + 1) if open_ else (done[-1][1] + 1 if done else 0), int(r.start_ms), int(r.end_ms), r.text]
-            if open_:
-                state.update(tuple(open_))
-                if event_time:
-                    state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + max_gap_ms + 1)
-            elif state.exists:
-                state.remove()
+                    close()
+                    open_ = [int(r["start_ms"]), int(r["end_ms"]), *(text or [None])]
+        state.update((pos, seen, *open_))
+        if event_time:
+            wait = max_gap_ms if open_[0] is not None else keep_ms
+            state.setTimeoutTimestamp(max(seen + wait, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(done, columns=names)
 
     base = cues.withWatermark(event_time, delay) if event_time else cues
     timeout = GroupStateTimeout.EventTimeTimeout if event_time else GroupStateTimeout.NoTimeout
-    return base.select(*names, *([event_time] if event_time else [])).groupBy("file_id").applyInPandasWithState(run, SIMPLE, "pos long, start_ms long, end_ms long, text string", "append", timeout)
+    return base.select(*names, *([event_time] if event_time else [])).groupBy("file_id").applyInPandasWithState(run, SIMPLE, "pos long, seen long, start_ms long, end_ms long, text string", "append", timeout)
 
 
 def close_marks(files: DataFrame) -> DataFrame:

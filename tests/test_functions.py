@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from captrix import registry
 from captrix.functions import detect, encoding
 from captrix.functions import text as tx
 from captrix.functions import timecode as tc
@@ -81,3 +82,20 @@ def test_encodings(spark):
     assert encoding.decode(b"\xff") == ""
     with pytest.raises(encoding.InvalidEncoding):
         encoding.decode(b"\xff\xfe\x00\xd8")
+
+
+def test_legacy_encodings():
+    for codec, name, text in registry.LEGACY:
+        assert (encoding.guess(text.encode(codec)), encoding.decode(text.encode(codec))) == (name, text)
+    more = {"cp1252": ["Où est-il allé ? Là-bas…", "Não há ninguém aqui, irmão", "È già tardi, perché no?", "Jag är på väg hem", "Rødgrød med fløde på", "café"], "cp1251": ["Слава Україні, дуже добре є їжа", "Hello, Иван! Как ты?"],
+            "cp1250": ["Köszönöm szépen, őszintén jól vagyok, kérdezzük"], "cp866": ["Я не знаю, что сказать тебе"], "cp874": ["ขอบคุณมากครับ"], "shift_jis": ["今日は日本へ行く"], "euc_kr": ["저는 학생입니다"]}
+    for codec, texts in more.items():
+        for text in texts:
+            assert encoding.decode(text.encode(codec)) == text, text
+
+
+def test_translate_in_batches(spark):
+    df = spark.createDataFrame([("a",), (None,), ("b",)], "t string").coalesce(1)
+    got = [r[0] for r in df.select(tx.translate_with(F.col("t"), batch=lambda xs: [x.upper() for x in xs])).collect()]
+    assert got == ["A", None, "B"]
+    assert [r[0] for r in df.select(tx.translate_with(F.col("t"), batch=lambda xs: 1 / 0)).collect()] == ["a", None, "b"]

@@ -25,7 +25,7 @@ def tables(folder):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(n for n in registry.ORACLES if n.endswith("_whole")))
+@pytest.mark.parametrize("name", sorted(n for n in registry.ORACLES if n.startswith(("q_render_", "q_roundtrip_", "q_detect", "q_enc", "q_ext", "q_parse_err", "q_json", "q_scc", "q_dedup", "q_quality_file"))))
 def test_whole_query_equals_sql(spark, folder, tables, name):
     got = registry.QUERIES[name](spark, folder)
     want = tables.execute(registry.ORACLES[name])
@@ -33,28 +33,23 @@ def test_whole_query_equals_sql(spark, folder, tables, name):
     assert sorted(map(repr, (tuple(r) for r in got.select(*names).collect()))) == sorted(map(repr, want.fetchall()))
 
 
-@pytest.mark.parametrize("fmt", ["srt", "scc", "whisper"])
+@pytest.mark.parametrize("fmt", ["srt", "scc", "whisper", "ebu_stl"])
 def test_round_trips_keep_long_texts_and_late_turns(spark, folder, fmt):
-    got = registry.QUERIES[f"q_roundtrip_{fmt}_whole"](spark, folder).collect()
+    got = registry.QUERIES[f"q_roundtrip_{fmt}"](spark, folder).collect()
     assert len(got) == 792 and max(len(r["text"]) for r in got) > len(LONG) and max(r["start_ms"] for r in got) > 3_600_000
 
 
-def test_every_query_over_cut_cues_has_a_whole_twin():
-    assert sum(f"{n}_whole" in registry.QUERIES for n in registry.QUERIES if n.startswith(("q_render_", "q_roundtrip_")) and not n.endswith("_whole")) == 14 + 15
-    assert all(f"{n}_whole" in registry.QUERIES for n in ("q_detect", "q_encoding", "q_extension", "q_parse_errors", "q_json"))
-
-
 def test_quality_counts_cues_without_duration(spark, folder):
-    got = {r["file_id"]: r for r in registry.QUERIES["q_quality_file_whole"](spark, folder).collect()}
+    got = {r["file_id"]: r for r in registry.QUERIES["q_quality_file"](spark, folder).collect()}
     assert {k: r["total_subtitles"] for k, r in got.items()} == {"1": 40, "2": 600, "3": 9, "4": 3, "5": 140}
     assert got["4"]["is_inf"] and got["4"]["avg_cps"] is None and got["4"]["total_issues"] >= 3
 
 
 def test_dedup_compares_whole_texts(spark, folder):
-    got = registry.QUERIES["q_dedup_whole"](spark, folder).collect()
+    got = registry.QUERIES["q_dedup"](spark, folder).collect()
     assert len(got) == 792 and max(len(r["text"]) for r in got) > len(LONG)
 
 
 def test_scc_timecodes_of_later_hours(spark, folder):
-    got = registry.QUERIES["q_scc_timecode_whole"](spark, folder)
+    got = registry.QUERIES["q_scc_timecode"](spark, folder)
     assert got.count() == 792 and got.where("timecode >= '01'").count() == 4
