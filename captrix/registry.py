@@ -13,7 +13,7 @@ from captrix.functions import detect, encoding
 from captrix.functions import text as tx
 from captrix.functions import timecode as tc
 from captrix.operators import edit, quality, validate
-from captrix.plans.pipeline import Pipeline
+from captrix.plans.pipeline import Builder, Pipeline
 from captrix.schema import FORMATS, as_cues
 from captrix.sources import reader, writers
 
@@ -137,6 +137,11 @@ _messy_query("q_norm_ocr", tx.fix_ocr_errors, _sql_ocr)
 _messy_query("q_norm_text", tx.normalize_text, lambda x: SQL_WS(SQL_PUNCT(SQL_QUOTES(x))))
 _text_query("q_norm_hi", tx.strip_hearing_impaired, SQL_HI("text"))
 _messy_query("q_filter_lang", lambda c: tx.filter_language(c, "en"), lambda x: G(x, "[^ -~]", ""))
+#: One text with the scripts that languages keep.
+SCRIPTS = "text || ' 你好,世界 ひらがな カタカナ 안녕 مرحبا שלום é 42'"
+for _lang in ("zh", "ja", "ko", "ar", "he"):
+    query(f"q_filter_lang_{_lang}", f"SELECT file_id, pos, regexp_replace({SCRIPTS}, '[^{tx.LANGUAGE_CHARACTERS[_lang]}]', '', 'g') AS text FROM cues".replace("\\n", "\n"))(
+        lambda c, k=_lang: c.select(*KEY, tx.filter_language(F.expr(SCRIPTS), k).alias("text")))
 _messy_query("q_newlines", tx.remove_all_newlines, lambda x: TRIM(G(f"replace({x}, chr(10), ' ')", " +", " ")))
 _messy_query("q_replace_newlines", lambda c: tx.replace_newlines(c, " / "), lambda x: f"array_to_string({SQL_LINES(x)}, ' / ')")
 query("q_chunks", r"""WITH RECURSIVE cues AS (""" + CUES.format(s="VARCHAR") + r"""),
@@ -150,8 +155,19 @@ g AS (SELECT file_id, pos, string_split(regexp_replace(replace(text, '. ', '.' |
   CASE WHEN l <> '' AND strlen(l) <= 40 THEN done ELSE list_append(CASE WHEN held <> '' THEN list_append(done, held) ELSE done END, l) END,
   CASE WHEN l <> '' AND strlen(l) <= 40 THEN CASE WHEN held = '' THEN l ELSE held || ' ' || l END ELSE '' END FROM (SELECT *, ls[i + 1] AS l FROM g WHERE i < len(ls)))
 SELECT file_id, pos, array_to_string(CASE WHEN held <> '' THEN list_append(done, held) ELSE done END, chr(10)) AS text FROM g WHERE i = len(ls)""")(lambda c: c.select(*KEY, tx.merge_short_lines(F.replace(F.col("text"), F.lit(". "), F.lit(".\n")), 40).alias("text")))
-query("q_optimize_line_breaks")(lambda c: c.select(*KEY, tx.optimize_line_breaks(F.col("text"), 42).alias("text")))
-query("q_ass_tags")(lambda c: c.select(*KEY, F.to_json(tx.parse_ass_tags(F.col("text"))).alias("parts")))
+#: Greedy rows by bytes, cut at the last liked place; a row that no word fits is cut by characters.
+BREAKS = r"""WITH RECURSIVE cues AS (""" + CUES.format(s="VARCHAR") + r"""),
+l AS (SELECT file_id, pos, unnest(range(0, len(ls))) AS i, unnest(ls) AS line FROM (SELECT file_id, pos, list_transform(string_split(regexp_replace(text, '\n$', ''), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS ls FROM cues)),
+g AS (SELECT file_id, pos, i, 0 AS step, '' AS made, line AS rest, true AS more FROM l UNION ALL
+ SELECT file_id, pos, i, step + 1, CASE WHEN length(rest) <= 42 THEN rest WHEN cut BETWEEN 1 AND len(ws) - 1 THEN array_to_string(ws[1:cut], ' ') ELSE substr(rest, 1, 42) END,
+  CASE WHEN length(rest) <= 42 THEN '' WHEN cut BETWEEN 1 AND len(ws) - 1 THEN array_to_string(ws[cut + 1:], ' ') ELSE substr(rest, 43) END, length(rest) > 42 FROM (
+  SELECT *, coalesce(list_max(list_filter(range(1, fit + 1), lambda k: regexp_matches(ws[k], '[,;:]$') OR ws[k + 1] IN ('and', 'or', 'but', 'so', 'yet', 'for'))), fit) AS cut FROM (
+  SELECT *, coalesce(list_max(list_filter(range(1, len(ws) + 1), lambda k: strlen(array_to_string(ws[1:k], ' ')) <= 42)), 0) AS fit FROM (
+  SELECT *, list_filter(regexp_split_to_array(rest, '\s+'), lambda x: x <> '') AS ws FROM g WHERE more AND (step = 0 OR rest <> '')))))
+SELECT file_id, pos, string_agg(made, chr(10) ORDER BY i, step) AS text FROM g WHERE step > 0 GROUP BY file_id, pos"""
+query("q_optimize_line_breaks", BREAKS)(lambda c: c.select(*KEY, tx.optimize_line_breaks(F.col("text"), 42).alias("text")))
+JSON_SPAN = lambda text, bold: f"""'[{{"text":' || to_json({text}) || ',"bold":{bold},"italic":false,"underline":false}}]'"""
+query("q_ass_tags", f"SELECT file_id, pos, CASE WHEN text LIKE '{{b1}}%' THEN {JSON_SPAN('substr(text, 5)', 'true')} ELSE {JSON_SPAN('text', 'false')} END AS parts FROM cues")(lambda c: c.select(*KEY, F.to_json(tx.parse_ass_tags(F.col("text"))).alias("parts")))
 query("q_fps", f"SELECT file_id, pos, {L('round(start_ms * (25.0 / 23.976))')} AS start_ms, {L('round(end_ms * (25.0 / 23.976))')} AS end_ms FROM cues")(lambda c: edit.transform_framerate(c, 23.976, 25.0).select(*TIMES))
 
 
@@ -173,6 +189,15 @@ def _parse_timestamp(c):
 
 
 #: An hour has 107,892 frames exactly.
+#: The loose form, without hours and with fractions as whole ms.
+@query("q_parse_timestamp_loose", "SELECT file_id, pos, start_ms, (end_ms % 60000)::BIGINT AS end_ms FROM cues")
+def _parse_loose(c):
+    part = lambda x, unit, size: F.floor(F.col(x) / unit).cast("long") % size
+    a = F.format_string("%d:%d:%d,%d", F.floor(F.col("start_ms") / 3600000).cast("long"), part("start_ms", 60000, 60), part("start_ms", 1000, 60), F.col("start_ms") % 1000)
+    b = F.format_string("0:%d.%d", part("end_ms", 1000, 60), F.col("end_ms") % 1000)
+    return c.select(*KEY, tc.parse_timestamp(a).alias("start_ms"), tc.parse_timestamp(b).alias("end_ms"))
+
+
 @query("q_scc_timecode", f"""SELECT file_id, pos, printf('%02d:%02d:%02d;%02d', h, m, left_ // 30, left_ % 30) AS timecode, {L('round((h * 107892 + left_ + m * 1800 - 2 * (m - m // 10)) / 29.97 * 1000)')} AS ms FROM (
 SELECT *, frames - (m * 1800 - 2 * (m - m // 10)) AS left_ FROM (SELECT *, list_max(list_filter(range(0, 61), lambda k: k * 1800 - 2 * (k - k // 10) <= frames)) AS m FROM (
 SELECT file_id, pos, start_ms // 3600000 AS h, round(start_ms % 3600000 * 29.97 / 1000)::BIGINT AS frames FROM cues)))""")
@@ -252,6 +277,17 @@ query("q_pipeline", f"""{_with('').rstrip()}, s AS (SELECT file_id, pos, (start_
 SELECT file_id, pos, start_ms, {L(f'CASE WHEN {DUR} > 4000 THEN start_ms + 4000 ELSE end_ms END')} AS end_ms, text FROM m""")(
     lambda c: Pipeline.from_json('{"operations": [{"op": "Sort"}, {"op": "Shift", "offset_ms": 500}, {"op": "MergeAdjacent", "max_gap_ms": 200}, {"op": "EnforceMaxDuration", "max_ms": 4000}]}').apply(c).select(*TIMES, "text"))
 
+#: The other operations, each as a pipeline of its own; the edit's own SQL defines the result.
+EMPTY_THIRDS = lambda c: c.withColumn("text", F.when(F.col("pos") % 3 == 0, "  ").otherwise(F.col("text")))
+for _name, _same, _columns, _made, _op in (
+    ("split_long", "q_split_long", (*TIMES, "text"), lambda c: c, {"op": "SplitLong", "max_chars": 30}), ("transform_fps", "q_fps", TIMES, lambda c: c, {"op": "TransformFps", "in_fps": 23.976, "out_fps": 25.0}),
+    ("remove_overlaps", "q_remove_overlaps", TIMES, lambda c: c, {"op": "RemoveOverlaps"}), ("min_duration", "q_min_duration", TIMES, lambda c: c, {"op": "EnforceMinDuration", "min_ms": 1000}),
+    ("auto_extend", "q_auto_extend", TIMES, lambda c: c, {"op": "AutoExtendCps", "max_cps": 20.0}), ("filter_empty", "q_filter_empty", (*KEY, "text"), EMPTY_THIRDS, {"op": "FilterEmpty"}),
+    ("dedup", "q_dedup", (*KEY, "text"), _repeated, {"op": "RemoveDuplicates"}),
+):
+    query(f"q_pipeline_{_name}", ORACLES[_same])(lambda c, made=_made, op=_op, columns=_columns: Pipeline([op]).apply(made(c)).select(*columns))
+query("q_builder", ORACLES["q_pipeline"])(lambda c: Builder(c).sort().shift(500).merge_adjacent(200).enforce_max_duration(4000).build().select(*TIMES, "text"))
+
 # Validation and quality
 
 ISSUES = f"""SELECT file_id, 'NegativeDuration' AS kind, pos AS a, NULL::BIGINT AS b, 1 AS phase, pos * 2 AS rank FROM cues WHERE end_ms < start_ms
@@ -266,6 +302,25 @@ query("q_validate", f"{SEQ} ({ISSUES})")(lambda c: validate.validate(c).select("
 query("q_validate_ext", f"{SEQ} ({ISSUES} {MORE})")(lambda c: validate.validate_extended(c, 42, 500, 25.0).select("file_id", "seq", "kind", "index", "index_b"))
 query("q_issue_text", f"SELECT file_id, pos, 'subtitle ' || pos || ' has zero duration at ' || start_ms || 'ms' AS description FROM cues WHERE start_ms = end_ms")(
     lambda c: validate.validate(c).where("kind = 'ZeroDuration'").select("file_id", F.col("index").alias("pos"), "description"))
+SENTENCES = f"""SELECT file_id, pos AS index, 'Overlap' AS kind, 'OVERLAP' AS code, 'subtitle ' || pos || ' (ends at ' || end_ms || 'ms) overlaps with subtitle ' || nxt || ' (starts at ' || ns || 'ms)' AS description, NULL::DOUBLE AS cps
+ FROM (SELECT *, lead(start_ms) OVER ({BY_TIME}) AS ns, lead(pos) OVER ({BY_TIME}) AS nxt FROM cues) WHERE end_ms > ns
+UNION ALL SELECT file_id, pos, 'NegativeDuration', 'NEG_DUR', 'subtitle ' || pos || ' has negative duration: ' || start_ms || 'ms -> ' || end_ms || 'ms', NULL FROM cues WHERE end_ms < start_ms
+UNION ALL SELECT file_id, pos, 'ZeroDuration', 'ZERO_DUR', 'subtitle ' || pos || ' has zero duration at ' || start_ms || 'ms', NULL FROM cues WHERE end_ms = start_ms
+UNION ALL SELECT file_id, pos, 'DecreasingStartTime', 'DECR_START', 'subtitle ' || pos || ' starts at ' || start_ms || 'ms before previous subtitle''s start time ' || ps || 'ms', NULL FROM (SELECT *, lag(start_ms) OVER ({BY_POS}) AS ps FROM cues) WHERE start_ms < ps
+UNION ALL SELECT file_id, pos, 'TooLongGap', 'LONG_GAP', 'subtitle ' || pos || ': ' || greatest(start_ms - pe, 0) || 'ms gap between ' || pe || 'ms and ' || start_ms || 'ms', NULL FROM (SELECT *, lag(end_ms) OVER ({BY_POS}) AS pe FROM cues) WHERE greatest(start_ms - pe, 0) > 500
+UNION ALL SELECT file_id, pos, 'TextTooLong', 'LONG_TEXT', 'subtitle ' || pos || ' has ' || length(text) || ' characters (max recommended: 42)', NULL FROM cues WHERE length(text) > 42
+UNION ALL SELECT file_id, pos, 'CpsTooHigh', 'HIGH_CPS', 'subtitle ' || pos || ' has N chars/second (max recommended: 25.0)', CASE WHEN {DUR} > 0 THEN round({CPS}, 4) END FROM cues WHERE CASE WHEN {DUR} > 0 THEN {CPS} > 25 ELSE true END"""
+
+
+@query("q_issue_text_all", SENTENCES)
+def _sentences(c):
+    """Every kind's sentence; the speed in it, to one decimal, is compared as a number."""
+    found = validate.validate_extended(c, 42, 500, 25.0)
+    return found.select("file_id", "index", "kind", "code", F.regexp_replace("description", r"has [0-9.inf]+ chars/second", "has N chars/second").alias("description"), F.when(F.col("cps") != float("inf"), F.round("cps", 4)).alias("cps"))
+
+
+query("q_info_speed", f"SELECT file_id, CASE WHEN min({DUR}) > 0 THEN round(greatest(max({CPS}), 0.0), 4) END AS max_cps, min({DUR}) = 0 AS is_inf FROM cues GROUP BY file_id")(
+    lambda c: quality.info(c).select("file_id", F.when(F.col("max_cps") != float("inf"), F.round("max_cps", 4)).alias("max_cps"), (F.col("max_cps") == float("inf")).alias("is_inf")))
 N_ISSUES = f"((length({PLAINTEXT}) > 42)::INT + (CASE WHEN {DUR} > 0 THEN {CPS} > 25 ELSE true END)::INT + coalesce(greatest(start_ms - pe, 0) > 500, false)::INT)"
 WITH_BEFORE = f"(SELECT *, lag(end_ms) OVER ({BY_POS}) AS pe FROM cues)"
 query("q_quality_cue", f"""SELECT file_id, pos AS index, {L(DUR)} AS duration_ms, {L(f'length({PLAINTEXT})')} AS char_count, {L(WORDS(PLAINTEXT))} AS word_count, {L(N_ISSUES)} AS n_issues,
@@ -306,11 +361,17 @@ RENDERED = {
            + f"' || string_agg('Dialogue: 0,' || {HUNDREDTHS('start_ms')} || ',' || {HUNDREDTHS('end_ms')} || ',Default,,0,0,0,,' || text || chr(10), '' ORDER BY pos)",
     "scc": f"'Scenarist_SCC V1.0' || chr(10) || chr(10) || string_agg({SCC_CLOCK('start_ms')} || chr(9) || '9420 94ad ' || array_to_string(list_transform(string_split(text, ''), lambda c: printf('%04X', ascii(c))), ' ')"
            f" || ' 942f' || chr(10) || {SCC_CLOCK('end_ms')} || chr(9) || '942c' || chr(10) || chr(10), '' ORDER BY pos)",
-    "ttml": TTML, "dfxp": TTML, "whisper": WHISPER, "ebu_stl": None,
+    "ttml": TTML, "dfxp": TTML, "whisper": WHISPER,
 }
 DIGEST = lambda sql: f"SELECT file_id, sha256({sql}) AS digest FROM cues GROUP BY file_id"
 for _fmt, _sql in RENDERED.items():
-    query(f"q_render_{_fmt}", _sql and DIGEST(_sql), PLAIN)(lambda c, f=_fmt: writers.render(c, f).select("file_id", F.sha2(F.col("content").cast("binary"), 256).alias("digest")))
+    query(f"q_render_{_fmt}", DIGEST(_sql), PLAIN)(lambda c, f=_fmt: writers.render(c, f).select("file_id", F.sha2(F.col("content").cast("binary"), 256).alias("digest")))
+
+#: Blocks of 128 bytes in hexadecimal: number, times, extension, place, 112 bytes of text.
+STL_TIME = lambda x: f"printf('%02x%02x%02x%02x', round({x} / 1000.0 * 25.0)::BIGINT // 90000, round({x} / 1000.0 * 25.0)::BIGINT // 1500 % 60, round({x} / 1000.0 * 25.0)::BIGINT // 25 % 60, round({x} / 1000.0 * 25.0)::BIGINT % 25)"
+STL = f"""SELECT file_id, sha256(unhex(repeat('00', 1024) || string_agg('00' || printf('%04x', (pos + 1) % 65535) || {STL_TIME('start_ms')} || {STL_TIME('end_ms')} || '00' || CASE WHEN n = 1 THEN '00' WHEN k = n - 1 THEN 'ff' ELSE printf('%02x', k) END
+ || '001400' || rpad(hex(encode(substr(text, 112 * k + 1, 112))), 224, '0'), '' ORDER BY pos, k))) AS digest FROM (SELECT *, unnest(range(0, n)) AS k FROM (SELECT *, (length(text) + 111) // 112 AS n FROM cues)) GROUP BY file_id"""
+query("q_render_ebu_stl", STL, PLAIN)(lambda c: writers.render(c, "ebu_stl").select("file_id", F.sha2("content", 256).alias("digest")))
 
 EXACT = ("start_ms", "end_ms")
 TENTHS = ("start_ms // 10 * 10", "end_ms // 10 * 10")
@@ -328,6 +389,41 @@ for _fmt in FORMATS:
     _a, _b = QUANTISED[_fmt]
     query(f"q_roundtrip_{_fmt}", f"SELECT file_id, pos, {L(_a)} AS start_ms, {L(_b)} AS end_ms, text FROM cues", PLAIN)(lambda c, f=_fmt: _round_trip(c, f))
 
+
+
+def _parsed(c: DataFrame, fmt: str, **options) -> DataFrame:
+    return reader.parse_texts(writers.render(c, fmt, **options), fmt, text="content", mode="FAILFAST")
+
+
+#: Styled spans: bold words before plain ones, and coloured or spoken ones.
+SPAN = lambda bold, more: f"""'[{{"text":"' || text || '","bold":{bold},"italic":false,"underline":false{more}}}]'"""
+for _fmt, _open, _close, _more in (("srt", '<font color="#ff8800">', "</font>", ',"color":"#ff8800"'), ("vtt", "<v Ann>", "</v>", ',"voice":"Ann"')):
+    query(f"q_rich_text_{_fmt}", f"""SELECT file_id, pos, CASE pos % 3 WHEN 0 THEN text || ' end' ELSE text END AS text, CASE pos % 3 WHEN 0 THEN {SPAN('true', '')} WHEN 1 THEN {SPAN('false', _more)} END AS parts FROM cues""", PLAIN)(
+        lambda c, f=_fmt, a=_open, z=_close: reader.cues_of(_parsed(c.withColumn("text", F.when(F.col("pos") % 3 == 0, F.concat(F.lit("<b>"), "text", F.lit("</b> end"))).when(F.col("pos") % 3 == 1, F.concat(F.lit(a), "text", F.lit(z))).otherwise(F.col("text"))), f))
+        .select(*KEY, "text", F.to_json("text_parts").alias("parts")))
+
+
+@query("q_heads", f"""SELECT file_id, w AS format, h AS head, count(*) AS n_cues FROM cues, (VALUES ('vtt', 'WEBVTT'), ('ass', 'Default Arial 48 false 100.0 2 1'), ('sami', 'Name: English; lang: en-US;}}'), ('scc', '29.97 true'),
+ ('microdvd', '25.0'), ('mpl2', '23.976'), ('subviewer', '[AUTHOR]captrix'), ('lrc', 'lines')) AS t(w, h) GROUP BY ALL""", PLAIN)
+def _heads(c):
+    """What files say of themselves beside their cues, as parsed from what the writers made."""
+    c = c.repartition("file_id")
+    style = F.get("styles", F.lit(0))
+    heads = {
+        "vtt": F.col("header"), "ass": F.concat_ws(" ", style["name"], style["fontname"], style["fontsize"].cast("string"), style["bold"].cast("string"), style["scale_x"].cast("string"), style["alignment"].cast("string"), style["encoding"].cast("string")),
+        "sami": F.col("class_styles")["ENCC"], "scc": F.concat_ws(" ", F.col("fps").cast("string"), F.col("drop_frame").cast("string")), "microdvd": F.col("fps").cast("string"), "mpl2": F.col("fps").cast("string"),
+        "subviewer": F.get(F.split("header", "\n"), F.lit(2)), "lrc": F.when(F.size("lrc_lines") == F.col("n_cues"), F.lit("lines")),
+    }
+    out = None
+    for f, head in heads.items():
+        one = reader.files_of(_parsed(c, f, **({"fps": 25.0} if f == "microdvd" else {}))).select("file_id", F.lit(f).alias("format"), head.alias("head"), "n_cues")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+query("q_microdvd_fps", f"SELECT file_id, pos, {L('round(round(start_ms * 25.0 / 1000) * 1000.0 / 25.0)')} AS start_ms, {L('round(round(end_ms * 25.0 / 1000) * 1000.0 / 25.0)')} AS end_ms, text FROM cues", PLAIN)(
+    lambda c: reader.cues_of(_parsed(c, "microdvd", fps=25.0)).select(*TIMES, "text"))
+
 #: What detection says of files that the writers made. EBU STL heads are blank, and DFXP files have the TTML name space.
 DETECTED = {f: f for f in FORMATS} | {"ssa": "ass", "dfxp": "ttml", "ebu_stl": None}
 
