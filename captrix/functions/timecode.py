@@ -100,9 +100,9 @@ def ms_to_scc_timecode(ms: Column, drop: Column, fps: float = SCC_FPS) -> Column
     """``HH:MM:SS;FF`` (drop frame) or ``HH:MM:SS:FF``."""
     nominal = round(fps)
     frames = F.round((ms % 3600000) * F.lit(float(fps)) / 1000).cast("long")
-    # the last minute k of at most 60 whose first frame, 1800 k less what was dropped until then, is reached
-    reached = F.filter(F.sequence(F.lit(0), F.lit(60)), lambda k: k * (60 * nominal) - 2 * (k - F.floor(k / 10)) <= frames)
-    minute = F.array_max(reached).cast("long")
+    # ten minutes drop 18 frames; within them every minute but the first drops two
+    tens = div(frames, 600 * nominal - 18)
+    minute = tens * 10 + F.least(F.lit(9), div(frames - tens * (600 * nominal - 18), 60 * nominal - 2))
     left = frames - (minute * (60 * nominal) - 2 * (minute - div(minute, 10)))
     hours = div(ms, 3600000)
     dropped = F.format_string("%02d:%02d:%02d;%02d", hours, minute, div(left, nominal), left % nominal)

@@ -61,7 +61,7 @@ def cue_text(fmt: str, fps: float = DEFAULT_FPS, stored_index: bool = False) ->
     number = F.coalesce(F.col("index"), F.col("pos") + 1) if stored_index else F.col("pos") + 1
     times = lambda style: F.concat(tc.format_timestamp(start, style), F.lit(" --> "), tc.format_timestamp(end, style))
     frames = lambda a, b: (F.format_string("%s%d%s", F.lit(a), tc.ms_to_frames(start, fps), F.lit(b)), F.format_string("%s%d%s", F.lit(a), tc.ms_to_frames(end, fps), F.lit(b)))
-    hexed = F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: (F.ascii(c) >= 32) & (F.ascii(c) <= 126) & (c != "")), lambda c: F.format_string("%04X", F.ascii(c))), " ")
+    hexed = F.rtrim(F.regexp_replace(F.hex(F.regexp_replace(text, "[^ -~]", "")), "(..)", "00$1 "))
     drop = F.coalesce(F.col("drop_frame"), F.lit(True)) if fmt == "scc" else F.lit(True)
     made = {
         "srt": lambda: F.concat(number.cast("string"), F.lit("\n"), times("srt"), F.lit("\n"), text),
