@@ -41,6 +41,7 @@ def _parser() -> argparse.ArgumentParser:
         c.add_argument("--max-cps", type=float, default=25.0)
     c = command("edit", True)
     c.add_argument("--sort", action="store_true")
+    c.add_argument("--dedup", action="store_true")
     c.add_argument("--shift", type=int)
     c.add_argument("--merge", type=int)
     c.add_argument("--split", type=int)
@@ -109,6 +110,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         steps = []  # in this order, whatever the order of the flags
         if a.sort:
             steps.append(edit.sort)
+        if a.dedup:
+            steps.append(edit.remove_duplicates)
         for value, step in ((a.shift, edit.shift), (a.merge, edit.merge_adjacent), (a.split, edit.split_long)):
             if value is not None:
                 steps.append(lambda c, v=value, s=step: s(c, v))

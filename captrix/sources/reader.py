@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import urllib.request
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,10 +45,11 @@ def _row(pos: int, c: Cue) -> dict:
     return {"pos": pos, "index": c.index, "start_ms": c.start, "end_ms": c.end, "text": c.text, "settings": c.settings, "text_parts": c.parts or None, "style": c.style, "actor": c.actor, "is_comment": c.comment}
 
 
-def parse_files(files: DataFrame, fps: float | None = None, mode: str = "PERMISSIVE") -> DataFrame:
+def parse_files(files: DataFrame, fps: float | None = None, mode: str = "PERMISSIVE", stream: bool = False) -> DataFrame:
     """One row a file, with its cues in an array, from columns file_id, path, format, encoding, content.
 
-    PERMISSIVE keeps a file that fails with its ``parse_error`` and no cues; FAILFAST raises. Each row is parsed by itself, so
+    PERMISSIVE keeps a file that fails with its ``parse_error`` and no cues; FAILFAST raises. With ``stream``, files are read as stream readers
+    do, and a file keeps its good cues beside the first error. Each row is parsed by itself, so
     the stage has no shuffle and a lost task repeats alone.
     """
 
@@ -59,7 +61,10 @@ def parse_files(files: DataFrame, fps: float | None = None, mode: str = "PERMISS
                 try:
                     if r.format is None:
                         raise ParseError("UnknownFormat", "", "unknown subtitle format")
-                    done = parse(r.format, bytes(r.content), fps)
+                    done = parse(r.format, bytes(r.content), fps, stream)
+                    if done.errors and mode.upper() == "FAILFAST":
+                        raise done.errors[0]
+                    own["parse_error"] = next(({"kind": e.kind, "format": e.format, "message": str(e)} for e in done.errors), None)
                     own |= done.meta | {"cues": [_row(i, c) for i, c in enumerate(done.cues)], "n_cues": len(done.cues)}
                 except ParseError as e:
                     if mode.upper() == "FAILFAST":
@@ -89,6 +94,30 @@ def read_binary(spark: SparkSession, paths: str | list[str], recursive: bool = F
     return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths).select("path", "content")
 
 
+def read_urls(spark: SparkSession, urls: list[str] | DataFrame, timeout: float = 30.0, partitions: int | None = None) -> DataFrame:
+    """path (the url) and content of resources fetched by the executors; ``urls`` is a list or a table with a column ``url``.
+
+    A resource that cannot be fetched fails the job, as a missing file does. Rows are dealt to ``partitions`` tasks, each of which fetches its own.
+    """
+    table = urls if isinstance(urls, DataFrame) else spark.createDataFrame([(u,) for u in urls], "url string")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for url in pdf["url"]:  # one resource held at a time
+                with urllib.request.urlopen(url, timeout=timeout) as r:
+                    yield pd.DataFrame({"path": [url], "content": [r.read()]})
+
+    return table.select("url").where("url IS NOT NULL").repartition(partitions or spark.sparkContext.defaultParallelism).mapInPandas(run, "path string, content binary")
+
+
+def read_url_cues(spark: SparkSession, urls: list[str] | DataFrame, fmt: str | None = None, fps: float | None = None, mode: str = "PERMISSIVE", timeout: float = 30.0) -> DataFrame:
+    """Cues of subtitle files behind urls; the format is the given one, else that of the path's ending, else of the content."""
+    rows = read_urls(spark, urls, timeout)
+    plain = F.regexp_extract("path", r"^[^?#]*", 0)
+    named = with_formats(rows.withColumn("url", F.col("path")).withColumn("path", plain), fmt)
+    return cues_of(parse_files(named, fps, mode))
+
+
 def read_parsed(spark: SparkSession, paths: str | list[str], fmt: str | None = None, fps: float | None = None, mode: str = "PERMISSIVE") -> DataFrame:
     return parse_files(with_formats(read_binary(spark, paths), fmt), fps, mode)
 

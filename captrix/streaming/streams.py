@@ -1,6 +1,7 @@
 """Timed text as it arrives: files through the batch parsers, and unbounded cues with keyed state.
 
-``read_stream`` is stateless: a file is one row, so the batch parser runs on each and the result equals the batch's; ``write_stream`` writes
+``read_stream`` is stateless: a file is one row, so a parser runs on each without a shuffle; on well-formed files the result equals the batch's
+but for SAMI's ends and LRC's order (see ``sources.parsers``). ``write_stream`` writes
 each micro-batch's files in a format. ``dedup_stream`` and ``merge_stream`` keep a row of state for each file: the last text, or the open run of
 cues and the number of runs so far. Cues of a file must arrive in the order of ``pos`` from batch to batch; within a batch they
 are sorted. The merge emits a run when a later cue opens the next one, when a closing mark ends the file, or when the watermark passes the
@@ -25,10 +26,10 @@ BINARY = "path string, modificationTime timestamp, length long, content binary"
 SIMPLE = "file_id string, pos long, start_ms long, end_ms long, text string"
 
 
-def read_stream(spark: SparkSession, path: str, fmt: str | None = None, fps: float | None = None, mode: str = "PERMISSIVE", max_files: int = 1000) -> DataFrame:
-    """Cues of files as they appear in a folder."""
+def read_stream(spark: SparkSession, path: str, fmt: str | None = None, fps: float | None = None, mode: str = "PERMISSIVE", max_files: int = 1000, as_batch: bool = False) -> DataFrame:
+    """Cues of files as they appear in a folder, as the formats' stream readers give them, or with ``as_batch`` as ``read_cues`` does."""
     binary = spark.readStream.format("binaryFile").schema(BINARY).option("maxFilesPerTrigger", max_files).load(path).select("path", "content")
-    return cues_of(parse_files(with_formats(binary, fmt), fps, mode))
+    return cues_of(parse_files(with_formats(binary, fmt), fps, mode, not as_batch))
 
 
 def write_stream(stream: DataFrame, folder: str, fmt: str, checkpoint: str, policy: str = "overwrite", **options):

@@ -45,7 +45,7 @@ FILES = {
     "vtt": ("WEBVTT\n\n00:01.000 --> 00:02.000\none\n\n00:03.000 --> 00:04.000\ntwo\n", [(1000, 2000, "one"), (3000, 4000, "two")]),
     "microdvd": ("{24}{48}one\n{72}{96}two\n", [(1001, 2002, "one"), (3003, 4004, "two")]),
     "subviewer": ("[TITLE]\n00:00:01.00,00:00:02.00\none\n\n00:00:03.00,00:00:04.00\ntwo\n", [(1000, 2000, "one"), (3000, 4000, "two")]),
-    "sbv": ("0:00:01.000,0:00:02.000\none\n\n0:00:03.000,0:00:04.000\ntwo\n", [(1000, 2000, "one"), (3000, 4000, "two")]),
+    "sbv": ("0:00:01.000,0:00:02.000,one\n\n0:00:03.000,0:00:04.000,two\n", [(1000, 2000, "one"), (3000, 4000, "two")]),
     "lrc": ("[00:01.00]one\n[00:03.00]two\n", [(1000, 6000, "one"), (3000, 8000, "two")]),
     "sami": ("<SAMI><Body><Sync Start=1000><P>one</P></Sync><Sync Start=3000><P>two</P></Sync></Body></SAMI>", [(1000, 3000, "one"), (3000, 6000, "two")]),
     "mpl2": ("[24][48]one\n[72][96]two\n", [(1001, 2002, "one"), (3003, 4004, "two")]),
@@ -99,3 +99,39 @@ def test_null_texts_in_streams_are_as_in_batch(spark, tmp_path):
     stream = spark.readStream.schema(simple.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = drain(streams.dedup_stream(stream), "nulls_seen", spark)
     assert sorted((r["start_ms"], r["text"]) for r in got.collect()) == sorted((r["start_ms"], r["text"]) for r in edit.remove_duplicates(cues).collect())
+
+
+def times(fmt, text, stream=True):
+    done = parsers.parse(fmt, text, stream=stream)
+    return [(c.start, c.end, c.text) for c in done.cues], len(done.errors)
+
+
+@pytest.mark.parametrize(("fmt", "text", "want", "errors"), [
+    ("srt", "1\nsoon\n00:00:01,000 --> 00:00:02,000\na\n\n2-->3\n00:00:03,000 --> never\n00:00:04,000 --> 00:00:05,000\nb\n", [(1000, 2000, "a"), (4000, 5000, "b")], 1),
+    ("vtt", "\ufeffWEBVTT\n\nid\nmore\n00:01.000 --> 00:02.000\na\n\n0 --> 1\n00:03.000 --> 00:04.000\nb\n", [(1000, 2000, "a"), (3000, 4000, "b")], 1),
+    ("microdvd", "{1}{1}25\n{25}{50}a\n{1}{1}50\n{100}{150}b\n{x}{1}c", [(1000, 2000, "a"), (2000, 3000, "b")], 0),
+    ("subviewer", "[HEAD]\n00:00:01.00,00:00:02.00\n[SKIP]\na\nb\n00:00:03.00,00:00:04.00\n", [(1000, 2000, "a"), (3000, 4000, "")], 0),
+    ("sbv", "0:00:01.000,0:00:02.000,a\n0:00:03.000,0:00:04.000\nb\n0:05.0,x,c\n", [(1000, 2000, "a")], 3),
+    ("lrc", "[00:09.00][00:02.00]a\n[00:01.00]b\n[00:05.00]\n", [(9000, 14000, "a"), (2000, 7000, "a"), (1000, 6000, "b")], 0),
+    ("sami", "<Sync Start=100><P> </P><P>unheard</P></Sync><Sync Start=900><P>a</P><P>b</P></Sync><Sync Start=1000><P>c</P></Sync>", [(900, 3900, "a"), (1000, 4000, "c")], 0),
+    ("mpl2", "[24][48]a\n[x][1]b\n[1][2]\n", [(1001, 2002, "a")], 0),
+    ("scc", "Scenarist_SCC V1.0\n00:00:01:00\t9420 942f\n00:00:02:00\t942c\n00:00:03:00\t6162 942f\n00:00:04:00\t942c\n", [(1001, 4004, "ab")], 0),
+])
+def test_stream_readers_of_broken_files(fmt, text, want, errors):
+    assert times(fmt, text) == (want, errors)
+
+
+def test_stream_readers_differ_from_batch_on_purpose():
+    assert times("scc", "00:00:01:00\t9420 942f\n00:00:02:00\t942c\n00:00:03:00\t6162 942f\n00:00:04:00\t942c\n", False)[0] == []
+    assert times("lrc", "[00:09.00]a\n[00:01.00]b\n", False)[0] == [(1000, 6000, "b"), (9000, 14000, "a")]
+    with pytest.raises(parsers.ParseError):
+        parsers.parse("srt", "1\nsoon\n")
+
+
+def test_streams_keep_good_cues_beside_an_error(spark, tmp_path):
+    (tmp_path / "a.sbv").write_text("0:00:01.000,0:00:02.000,a\nnoise\n")
+    rows = reader.with_formats(reader.read_binary(spark, str(tmp_path)))
+    row = reader.files_of(reader.parse_files(rows, stream=True)).first()
+    assert row["n_cues"] == 1 and row["parse_error"]["kind"] == "InvalidLine"
+    with pytest.raises(Exception, match="invalid SBV line"):
+        reader.parse_files(rows, None, "FAILFAST", True).collect()
