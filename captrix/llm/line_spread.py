@@ -2,7 +2,8 @@
 
 A line that stands on many distinct sites is boilerplate. Lines found at least ``min_sites`` times (a line cannot be on
 more sites than that) get a HyperLogLog sketch of their sites, merged by aggregation; where the estimate is within the
-sketch's error of the threshold, the sites are counted exactly. Of a boilerplate line, its first occurrence (by doc_id, then
+sketch's error of the threshold, the sites are counted exactly. Texts are read three times: to count lines, to store the occurrences of
+frequent ones, and to cut. Of a boilerplate line, its first occurrence (by doc_id, then
 place) stays and all others are removed.
 
 A line is known by 96 bits of hash of its text without outer spaces; only lines with a word count. Documents are known by
@@ -10,7 +11,7 @@ doc_id and a hash of the row.
 
 Edge cases: a null text has no lines and stays null; a null site is the empty site; equal rows (same id, text and site) are
 treated alike, so the first occurrence stays in each of them; a null doc_id sorts first; an empty table gives an empty
-table; other columns are kept.
+table; a very long text is one row of its lines while it is split and cut, its lines are rows of hashes between; other columns of any name are kept.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from captrix.llm.common import read
+from captrix.llm.common import read, shared_folder, stored
 from captrix.llm.positional_index import small
 
 MIN_SITES, SKETCH_BITS, SIGMAS = 10, 12, 3.0
@@ -36,27 +37,26 @@ def _error(min_sites: int, bits: int) -> int:
     return max(1, math.ceil(SIGMAS * 1.04 / math.sqrt(2**bits) * min_sites))
 
 
-def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, bits: int = SKETCH_BITS) -> DataFrame:
-    """a, b, first: the lines on at least ``min_sites`` sites and the place of their first occurrence."""
-    frequent = lines.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("a", "b")
-    some = lines.join(small(frequent), ["a", "b"], "left_semi")
+def boilerplate(lines: DataFrame, folder: str, min_sites: int = MIN_SITES, bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
+    """Occurrences of frequent lines, and a, b, first: the lines on at least ``min_sites`` sites and the place of their first occurrence."""
+    frequent = stored(lines.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("a", "b"), folder, "frequent")
+    some = stored(lines.join(small(frequent), ["a", "b"], "left_semi"), folder, "occurrences")
     spread = some.groupBy("a", "b").agg(F.hll_sketch_agg("site", F.lit(bits)).alias("sketch"), F.min(F.struct("d", "tie", "pos")).alias("first")).withColumn("sites", F.hll_sketch_estimate("sketch")).drop("sketch")
-    error = _error(min_sites, bits)
-    near = spread.where(F.abs(F.col("sites") - min_sites) <= error)
+    spread = stored(spread, folder, "spread")
+    near = spread.where(F.abs(F.col("sites") - min_sites) <= _error(min_sites, bits))
     exact = some.join(small(near.select("a", "b")), ["a", "b"], "left_semi").select("a", "b", "site").distinct().groupBy("a", "b").agg(F.count("*").alias("exact"))
     decided = spread.join(exact, ["a", "b"], "left")
-    return decided.where(F.coalesce("exact", "sites") >= min_sites).select("a", "b", "first")
+    return some, stored(decided.where(F.coalesce("exact", "sites") >= min_sites).select("a", "b", "first"), folder, "boilerplate")
 
 
-def spread_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+def spread_dedup(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """The rows of ``docs`` in ``_row``, with n_lines, n_removed and body (the text without the removed lines)."""
     site_of: Column = F.coalesce(F.col(site).cast("string"), F.lit(""))
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(doc_id).alias("d"), body.alias("body"), site_of.alias("site"))
     keyed = keyed.withColumn("tie", F.xxhash64("d", "body", "site"))
-    lines = _lines(keyed.select("d", "tie", "site", "body"))
-    found = boilerplate(lines, min_sites)
-    gone = lines.join(small(found), ["a", "b"]).where(~F.struct("d", "tie", "pos").eqNullSafe(F.col("first")))
+    some, found = boilerplate(_lines(keyed.select("d", "tie", "site", "body")), folder, min_sites)
+    gone = some.join(small(found), ["a", "b"]).where(~F.struct("d", "tie", "pos").eqNullSafe(F.col("first")))
     by_doc = gone.groupBy(F.col("d").alias("gd"), F.col("tie").alias("gt")).agg(F.collect_set("pos").alias("gone"))
     joined = keyed.join(by_doc, F.col("d").eqNullSafe(F.col("gd")) & (F.col("tie") == F.col("gt")), "left")
     cut = F.split("body", "\n")
@@ -67,13 +67,13 @@ def spread_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
 
 def op4(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    out = spread_dedup(docs)
+    out = spread_dedup(docs, shared_folder(spark))
     return out.select("_row.doc_id", "n_lines", F.when(F.col("n_removed") > 0, F.col("n_removed")).otherwise(F.lit(0).cast("long")).alias("n_removed"), F.sha2("body", 256).alias("kept_sha256"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document without its removed lines."""
-    out = spread_dedup(docs)
+    out = spread_dedup(docs, shared_folder(spark))
     text = F.when(F.col("_row.text").isNull(), F.lit(None)).otherwise(F.col("body"))
     return out.select(*[text.cast("string").alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
