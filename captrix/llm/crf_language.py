@@ -2,20 +2,22 @@
 
 A word's features are its affixes (1 to 4 characters), its character n-grams (1 to 3, with word bounds) and its membership
 in each language's lexicon; transition weights between the languages of neighbouring words are learned with them. The
-field is trained on the driver by gradient ascent (Adam, full batch) on a bounded sample of labelled rows: at most
-``DOCS_PER_LANGUAGE`` documents for each of at most ``MAX_LANGUAGES`` languages, picked by hash among all labelled rows.
+field is trained on the driver by gradient ascent (Adam, full batch) on a bounded sample of labelled rows: ``SAMPLE_DOCS`` documents at most,
+shared out evenly to all languages and at most ``DOCS_PER_LANGUAGE`` for each, picked by hash among all labelled rows; of each at most ``SAMPLE_CHARS``
+characters are learned from. Should there be more languages than ``SAMPLE_DOCS``, the rarest are not learned, which a warning says.
 Their lines are shuffled and chained into sequences of several languages, so the transitions see switches. Every word of
 every whole text is then labelled by forward-backward; a document's language is the one with the largest mean marginal.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; without any labelled row everything is ``und``;
 rows are independent, so repeated rows, null ids and any other columns do no harm; a null id counts as the empty text
-for the fold; very long texts are one sequence; ties go to the language that sorts first.
+for the fold; very long texts are one sequence; ties go to the language that sorts first; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import random
 import re
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,14 +27,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from captrix.llm.common import read
 
 #: Bounds of the training sample.
-DOCS_PER_LANGUAGE, MAX_LANGUAGES = 300, 64
+SAMPLE_DOCS, DOCS_PER_LANGUAGE, SAMPLE_CHARS = 19_200, 300, 20_000
 LEXICON_WORDS, LINES_PER_SEQUENCE = 2000, 8
 HASH_BITS, ROUNDS, RATE, RIDGE = 18, 25, 0.15, 1e-6
 BATCH_ROWS, MEMO_WORDS = 1000, 300_000
+#: Marginals (words x languages) held at once, beyond one text's.
+CELLS = 1 << 23
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 
@@ -122,7 +127,7 @@ def forward_backward(emissions: np.ndarray, lengths: np.ndarray, start: np.ndarr
 class Field:
     languages: list[str]
     weights: np.ndarray  # features x languages
-    lexicon: dict[str, int]  # word -> bits of languages
+    lexicon: dict[str, tuple[int, ...]]  # word -> its languages
     lexicon_weights: np.ndarray  # languages x languages
     start: np.ndarray
     moves: np.ndarray
@@ -133,12 +138,21 @@ class Field:
         who, what = features(words)
         k = len(self.languages)
         out = np.stack([np.bincount(who, self.weights[what, j], len(words)) for j in range(k)], axis=1)
-        bits = np.array([self.lexicon.get(w, 0) for w in words], np.int64)
-        member = ((bits[:, None] >> np.arange(k)) & 1).astype(float)
-        return (out + member @ self.lexicon_weights).astype(np.float32)
+        return (out + membership(words, self.lexicon, k) @ self.lexicon_weights).astype(np.float32)
 
     def label(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Marginals (words x languages) of every text, given its words."""
+        """Marginals (words x languages) of every text, given its words; a bounded number of words at once."""
+        out, at, room = [], 0, CELLS // len(self.languages)
+        while at < len(texts):
+            end, n = at + 1, len(texts[at])
+            while end < len(texts) and n + len(texts[end]) <= room:
+                n += len(texts[end])
+                end += 1
+            out += self._label(texts[at:end])
+            at = end
+        return out
+
+    def _label(self, texts: list[list[str]]) -> list[np.ndarray]:
         if self.table is None:
             self.table = np.zeros((0, len(self.languages)), np.float32)
         memo = self.memo
@@ -156,6 +170,15 @@ class Field:
         return np.split(marginals, np.cumsum(lengths)[:-1]) if len(lengths) else []
 
 
+def membership(words: list[str], lexicon: dict[str, tuple[int, ...]], k: int) -> np.ndarray:
+    """words x languages: whether the word is in the language's lexicon."""
+    out = np.zeros((len(words), k))
+    for i, w in enumerate(words):
+        if (own := lexicon.get(w)) is not None:
+            out[i, own] = 1
+    return out
+
+
 def train(rows: list[tuple[str, str]], seed: int = 7, rounds: int = ROUNDS) -> Field | None:
     """Fit the field to (text, language) rows."""
     languages = sorted({lang for _, lang in rows})
@@ -168,11 +191,11 @@ def train(rows: list[tuple[str, str]], seed: int = 7, rounds: int = ROUNDS) -> F
     counts = [Counter() for _ in languages]
     for ws, y in lines:
         counts[y].update(ws)
-    lexicon: dict[str, int] = {}
+    lexicon: dict[str, tuple[int, ...]] = {}
     for j, c in enumerate(counts):
         for w, n in c.most_common(LEXICON_WORDS):
             if n > 1:
-                lexicon[w] = lexicon.get(w, 0) | 1 << j
+                lexicon[w] = (*lexicon.get(w, ()), j)
     vocabulary: dict[str, int] = {}
     ids, labels, lengths = [], [], []
     for at in range(0, len(lines), LINES_PER_SEQUENCE):
@@ -188,7 +211,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7, rounds: int = ROUNDS) -> F
     words = list(vocabulary)
     who, what = features(words)
     used, what = np.unique(what, return_inverse=True)
-    member = ((np.array([lexicon.get(w, 0) for w in words])[:, None] >> np.arange(k)) & 1).astype(float)
+    member = membership(words, lexicon, k)
     first = np.cumsum(lengths) - lengths
     inner = np.ones(len(ids), bool)
     inner[first] = False
@@ -220,23 +243,26 @@ def fold_of(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 3
 
 
-def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = DOCS_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """Labelled rows outside the held-out fold, a bounded number of each language, picked by hash over all rows."""
+def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", docs_in_all: int = SAMPLE_DOCS, per_language: int = DOCS_PER_LANGUAGE) -> list[tuple[str, str]]:
+    """Labelled rows outside the held-out fold, a bounded number of each language, picked by hash over all rows.
+
+    Rows are thinned by their hash to a little more than what is wanted of their language before they are ranked within it,
+    so that no language's rows meet in one task.
+    """
     rows = docs.where((fold_of(doc_id) != 1) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(doc_id, text).alias("h"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(docs_in_all + 1).collect()
+    if len(counts) > docs_in_all:
+        warnings.warn(f"languages after the first {docs_in_all} are not learned", stacklevel=2)
+        counts = counts[:docs_in_all]
     if not counts:
         return []
-    parts = 1_000_000
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(parts, int(parts * 1.2 * per_language / r["count"]) + 50))])
-    some = rows.where(F.pmod("h", F.lit(parts)) < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0)))
-    picked = some.orderBy("h", "text").limit(2 * per_language * len(counts)).collect()
-    taken: Counter = Counter()
-    out = []
-    for r in picked:
-        taken[r["lang"]] += 1
-        if taken[r["lang"]] <= per_language:
-            out.append((r["text"], r["lang"]))
-    return out
+    wanted = max(1, min(per_language, docs_in_all // len(counts)))
+    parts = 1 << 40
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(parts, parts * (2 * wanted + 100) // r["count"])) for r in counts], "lang string, share long")
+    some = rows.join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(parts)) < F.col("share"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    picked = some.withColumn("text", F.substring("text", 1, SAMPLE_CHARS)).withColumn("nth", nth).where(F.col("nth") <= wanted).collect()
+    return [(r["text"], r["lang"]) for r in sorted(picked, key=lambda r: (r["h"], r["text"]))]
 
 
 def predict(docs: DataFrame, model: Field | None, text: str = "text", words: bool = False) -> DataFrame:
