@@ -11,7 +11,8 @@ posting of the empty term, whose position is the number of words.
 
 Edge cases: null or empty texts have no words; queries without words have no windows; a word is lower-cased in A-Z only;
 repeated query texts share their windows and all their item ids are reported; an empty benchmark hits nothing; an empty
-corpus gives an empty result; other columns are ignored.
+corpus gives an empty result; a very long text is a row of its words while it is split, and narrow postings from then on; other columns of
+any name are ignored, and kept by the pipeline stage.
 """
 
 from __future__ import annotations
@@ -141,9 +142,9 @@ def op5(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: contaminated documents go."""
-    found = contamination(docs, read(spark, sf_dir, "benchmark"), shared_folder(spark)).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t")).distinct()
-    tied = docs.withColumn("_tie", F.xxhash64("doc_id", F.col("text").cast("string")))
-    return tied.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_tie") == F.col("_t")), "left_anti").drop("_tie")
+    found = contamination(docs, read(spark, sf_dir, "benchmark"), shared_folder(spark)).where("contaminated").select(F.col("doc_id").alias("found_id"), F.col("tie").alias("found_tie")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("doc_id", F.col("text").cast("string")).alias("tie"))
+    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("tie") == F.col("found_tie")), "left_anti").select("row.*")
 
 
 def oracle() -> str:
