@@ -66,10 +66,10 @@ def build_index(docs: DataFrame, vocabulary: DataFrame, folder: str, doc_id: str
     """Write the postings of the vocabulary's terms (column ``word``) and read them back."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     ended = rows.select("row", F.xxhash64("doc_id", "text").alias("tie"), "doc_id", F.concat(words_of(F.col("text")), F.array(F.lit(""))).alias("words"))
-    tokens = ended.select("row", "tie", "doc_id", F.posexplode("words").alias("pos", "raw")).withColumn("word", fold(F.col("raw")))
-    known = vocabulary.select("word").where("word <> ''").distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "word string"))
-    found = tokens.join(small(known.withColumn("term", F.xxhash64("word"))), "word")
-    end = F.col("word") == ""
+    tokens = ended.select("row", "tie", "doc_id", F.posexplode("words").alias("pos", "raw")).withColumn("term", F.xxhash64(fold(F.col("raw"))))
+    known = vocabulary.select("word").unionByName(docs.sparkSession.createDataFrame([("",)], "word string")).select(F.xxhash64("word").alias("term")).distinct()
+    found = tokens.join(small(known), "term")
+    end = F.col("raw") == ""
     segments = found.select("term", "row", "pos", F.when(end, F.col("doc_id")).alias("doc_id"), F.when(end, F.col("tie")).alias("tie")).sortWithinPartitions("term")
     index = stored(segments, folder, "postings")
     is_end = F.col("term") == F.xxhash64(F.lit(""))
@@ -94,7 +94,7 @@ def candidates(index: PositionalIndex, ranked: DataFrame) -> DataFrame:
 
 def phrase_matches(index: PositionalIndex, ranked: DataFrame, folder: str) -> DataFrame:
     """row, win, start, len of every exact occurrence."""
-    found = candidates(index, ranked)
+    found = stored(candidates(index, ranked), folder, "candidates")
     second = ranked.where("rank = 2").select("win", "off", "term")
     lists = index.postings.join(small(second.select("term").distinct()), "term", "left_semi")
     wanted = found.where("len > 1").join(small(second), "win").select("row", "win", "start", "len", "term", (F.col("start") + F.col("off")).alias("pos"))
