@@ -9,7 +9,8 @@ ends (u64 each, counted within the file), then per level: u64 n, the chunks (u8
 the directory (u64 per block). Documents are in ascending doc_id order and files cover ascending ranges.
 
 Edge cases: a null or empty text has the end id alone; null doc_ids sort first; equal doc_ids are ordered by their text;
-an empty table writes no file and returns no row; other columns are ignored. Texts beyond ASCII and Latin-1 letters, with
+an empty table writes no file and returns no row; a very long text is one document of one file, which may then be longer than ``FILE_IDS``;
+other columns are ignored. Texts beyond ASCII and Latin-1 letters, with
 control characters or with "<|" go to the library whole; all others are cut into the library's own pre-tokens, whose
 ids are remembered, which gives the same ids.
 """
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from captrix.llm.common import read, shared_folder
 
@@ -38,6 +40,8 @@ WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß
 BITS = 8
 #: A task begins another file after so many ids, which bounds its memory; its files are numbered within ROLLS.
 FILE_IDS, ROLLS = 8_000_000, 1_000_000
+#: Tasks whose files are added up together.
+GROUP = 512
 
 
 def default_tokenizer() -> str:
@@ -86,7 +90,7 @@ class WordTokenizer:
                 if PLAIN.fullmatch(t) and "<|" not in t:
                     cut[i] = WORDS.findall(t.lower())
         memo = self.memo
-        new = sorted({w for ws in cut.values() for w in ws if w not in memo})
+        new = sorted(set().union(*cut.values()).difference(memo))
         full = len(memo) >= MEMO_WORDS
         memo.update(zip(new, self._words(new), strict=True))
         for i, ws in cut.items():
@@ -250,18 +254,18 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_
 
 
 def read_documents(manifest: DataFrame) -> DataFrame:
-    """Read the files back: doc_id, start, n_tokens, ids_crc32 of every document.
+    """Read the files back: doc_id, start, n_tokens, ids_crc32 of every document of a stored manifest.
 
-    What a file's documents start at is the sum of the files before it: one number per file goes through the driver.
+    What a file's documents start at is the sum of the files before it: sums of ``GROUP`` tasks' files are added up first (one row a
+    group), then the files within a group, and both meet by a join.
     """
     spark: SparkSession = manifest.sparkSession
-    sizes = manifest.select("part", "n_tokens").orderBy("part").collect()
-    starts, total = [], 0
-    for r in sizes:
-        starts.append((r["part"], total))
-        total += r["n_tokens"]
-    first = F.create_map(*[F.lit(x).cast("long") for p in starts for x in p]) if starts else F.create_map(F.lit(-1).cast("long"), F.lit(0))
-    files = manifest.withColumn("base", F.element_at(first, F.col("part")).cast("long")).select("file", "base", "doc_ids")
+    sizes = manifest.select("part", "n_tokens", F.expr(f"part div {ROLLS * GROUP}").alias("g"))
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sizes.groupBy("g").agg(F.sum("n_tokens").alias("n_tokens")).select("g", before(Window.orderBy("g")).alias("groups_before"))
+    placed = sizes.select("g", "part", before(Window.partitionBy("g").orderBy("part")).alias("files_before")).join(groups, "g")
+    bases = placed.select("part", (F.col("groups_before") + F.col("files_before")).alias("base"))
+    files = manifest.join(bases, "part").select("file", "base", "doc_ids")
     id_type = manifest.schema["doc_ids"].dataType.elementType
     schema = T.StructType([T.StructField("doc_id", id_type), *[T.StructField(c, T.LongType()) for c in ("start", "n_tokens", "ids_crc32")]])
 
@@ -281,8 +285,8 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([keys[own.start : own.stop], pa.array(begins[own] + base, pa.int64()), pa.array((ends - begins)[own], pa.int64()), pa.array(crcs, pa.int64())],
                                                      names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = files.repartition(max(1, len(sizes)), "file") if len(sizes) > 1 else files
-    return spread.mapInArrow(run, schema)
+    tasks = min(manifest.count(), max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    return (files.repartition(tasks, "file") if tasks > 1 else files).mapInArrow(run, schema)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
