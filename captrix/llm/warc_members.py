@@ -11,7 +11,8 @@ revisit records (profile identical-payload-digest) with the HTTP headers, whose
 Edge cases: null html is an empty payload; a null url becomes ``urn:page:<id>``; control characters and spaces in a url
 are percent-encoded; rows of equal page_id and payload are all responses if that id is the largest of their payload; a null
 page_id counts as smallest; an empty table writes no archive; other columns are ignored; payloads are copied in pieces when
-normalised, so a record may be larger than memory there.
+normalised, so a record may be larger than memory there; writing and reading hold one whole record at a time (one row of html,
+at most 2 GB in Spark).
 """
 
 from __future__ import annotations
