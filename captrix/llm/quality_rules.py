@@ -1,12 +1,13 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
 Every document gets base counts and two Jensen-Shannon distances: of its character classes and of its common words, each
-against the histogram of its language. The references are summed over all documents of a language, so they grow with
-the corpus while what reaches the driver is one row per language.
+against the histogram of its language. The references are summed over all documents of a language and joined as a table of one row
+a language, broadcast if a count says that it is small; nothing of them passes through the driver.
 
-Edge cases: a null text counts as empty; a document whose language is null or has no reference is held against the
-nearest reference; without any reference (empty table) the divergence rules pass; documents below the minimum lengths
-pass the divergence rules; all rows are kept, equal ones included; other columns are ignored.
+Edge cases: a null text counts as empty; a document whose language is null is held against the nearest reference; without any
+reference (empty table) the divergence rules pass; documents below the minimum lengths pass the divergence rules; all rows
+are kept, equal ones included; a very long text is counted as any other (its windows as one array); other columns are kept, but
+those named as a result are replaced.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from captrix.llm.common import shared_folder, stored
+from captrix.llm.positional_index import small
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Closed-class words, the bins of the common-word histogram.
@@ -29,24 +31,27 @@ LETTERS, BLANKS = r"a-z", r"\x20\x09-\x0D"
 CLASSES = [LETTERS, r"A-Z", r"0-9", BLANKS, r".,;:!?'\"()\x2D", r"#*$%&|<>@\x5B\x5C\x5D^_`{}~+=/"]
 MIN_CHARS, MIN_WORDS = 200, 80
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.22, 0.27
-MAX_LANGUAGES = 10_000
+#: References that a document without language is compared with at once.
+BLOCK_LANGUAGES = 256
+#: The columns of a judgement.
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "js_chars", "js_words", "base_failed", "kept"]
 #: Positions share a long with the upper bits of a window's hash up to this many words.
 _BITS = 20
 
 
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add n_chars_, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and ``_words`` to the rows.
+    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ``_words`` and ``_rest`` (the text without a-z) to the rows.
 
-    A 5-word window is known by a 64-bit hash of its words.
+    A 5-word window is known by a 64-bit hash of its words. What is no small letter is counted in ``_rest``, which is a fraction of the text.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     n = F.col("n_words")
-    d = docs.withColumn("_text", t).withColumn("_words", F.array_remove(F.split("_text", SPACE), ""))
+    d = docs.withColumn("_text", t).withColumns({"_words": F.array_remove(F.split("_text", SPACE), ""), "_rest": F.regexp_replace("_text", f"[{LETTERS}]+", "")})
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.withColumns({
         "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.regexp_replace("_text", SPACE, "")).cast("long"),
-        "n_symbols": F.length(F.regexp_replace("_text", r"[^#*$%&|<>]+", "")).cast("long"),
+        "word_chars": (F.length("_text") - F.length("_rest") + F.length(F.regexp_replace("_rest", SPACE, ""))).cast("long"),
+        "n_symbols": F.length(F.regexp_replace("_rest", r"[^#*$%&|<>]+", "")).cast("long"),
         "_lines": lines,
     })
     w = F.col("_words")
@@ -60,17 +65,24 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _covered_small() -> Column:
-    """Words in windows found twice: sort (hash, position) packed into longs, keep positions beside an equal hash."""
+    """Words in windows found twice: sort (hash, position) packed into longs, keep positions beside an equal hash.
+
+    Where unequal hashes share their upper bits, equal ones may not be neighbours, so the whole hashes are sorted instead.
+    """
     low = (1 << _BITS) - 1
     h = F.col("_h")
     keys = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))))
+    at = lambda v: v.bitwiseAND(F.lit(low)).cast("int")
+    alike = lambda v, w: F.coalesce(v.bitwiseAND(F.lit(~low)) == w.bitwiseAND(F.lit(~low)), F.lit(False))
+    same = lambda k, v, j: alike(v, F.get(k, j)) & F.coalesce(F.get(h, at(F.get(k, j))) == F.get(h, at(v)), F.lit(False))
+
+    def mixed(k: Column) -> Column:
+        return F.exists(F.transform(k, lambda v, j: alike(v, F.get(k, j + 1)) & ~same(k, v, j + 1)), lambda x: x)
 
     def kept(k: Column) -> Column:
-        at = lambda v: v.bitwiseAND(F.lit(low)).cast("int")
-        same = lambda v, j: F.coalesce(F.get(h, at(F.get(k, j))) == F.get(h, at(v)), F.lit(False))
-        return F.transform(k, lambda v, j: F.when(same(v, j - 1) | same(v, j + 1), at(v)).otherwise(F.lit(-1)))
+        return F.transform(k, lambda v, j: F.when(same(k, v, j - 1) | same(k, v, j + 1), at(v)).otherwise(F.lit(-1)))
 
-    return _let(keys, lambda k: _let(F.sort_array(F.filter(kept(k), lambda p: p >= 0)), _union_length))
+    return _let(keys, lambda k: F.when(mixed(k), _covered_any()).otherwise(_let(F.sort_array(F.filter(kept(k), lambda p: p >= 0)), _union_length)))
 
 
 def _covered_any() -> Column:
@@ -103,9 +115,9 @@ def histograms(counted: DataFrame, text: str = "text", words: dict[str, list[str
         "_found": F.concat(F.lit(" "), found, F.lit(" ")),
         "_all": F.length(t).cast("long"),
     })
-    # Of frequent characters the rest is counted, of rare ones themselves; white space is what words leave.
-    left, only = lambda c: F.length(F.regexp_replace(t, f"[{c}]+", "")), lambda c: F.length(F.regexp_replace(t, f"[^{c}]+", ""))
-    counts = {c: F.col("_all") - left(c) if c == LETTERS else F.col("_all") - F.col("word_chars") if c == BLANKS else only(c) for c in CLASSES}
+    # Small letters are what the rest leaves, white space what words leave.
+    only = lambda c: F.length(F.regexp_replace("_rest", f"[^{c}]+", ""))
+    counts = {c: F.col("_all") - F.length("_rest") if c == LETTERS else F.col("_all") - F.col("word_chars") if c == BLANKS else only(c) for c in CLASSES}
     counted = counted.withColumn("_c", F.array(*[counts[c].cast("long") for c in CLASSES]))
     each = [((F.length("_found") - F.length(F.replace(F.col("_found"), F.lit(f" {b} "), F.lit("")))) / (len(b) + 2)).cast("long") for b in bins]
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
@@ -113,21 +125,18 @@ def histograms(counted: DataFrame, text: str = "text", words: dict[str, list[str
     return counted.withColumns({
         "_chars": F.concat(F.col("_c"), F.array(F.col("_all") - total(F.col("_c")))),
         "_common": F.concat(F.col("_w"), F.array(F.col("n_words") - total(F.col("_w")))),
-    }).drop("_found", "_c", "_w", "_all")
+    }).drop("_found", "_c", "_w", "_all", "_rest")
 
 
-def references(hists: DataFrame, lang: str = "lang", n_bins: tuple[int, int] | None = None) -> list:
-    """One row per language: the sums of both histograms over all its documents. Bounded by the number of languages."""
+def references(hists: DataFrame, lang: str = "lang", n_bins: tuple[int, int] | None = None) -> DataFrame:
+    """lang, rc, rw: of every language the shares of both histograms, summed over all its documents."""
     nc, nw = n_bins or (len(CLASSES) + 1, len({w for ws in COMMON_WORDS.values() for w in ws}) + 1)
+    names = {"rc": [f"c{i}" for i in range(nc)], "rw": [f"w{i}" for i in range(nw)]}
     sums = hists.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(
-        *[F.sum(F.get("_chars", F.lit(i))).alias(f"c{i}") for i in range(nc)], *[F.sum(F.get("_common", F.lit(i))).alias(f"w{i}") for i in range(nw)]
+        *[F.sum(F.get("_chars", F.lit(i))).alias(c) for i, c in enumerate(names["rc"])], *[F.sum(F.get("_common", F.lit(i))).alias(c) for i, c in enumerate(names["rw"])]
     )
-    rows = sums.orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    share = lambda xs: [x / s for x in xs] if (s := sum(xs)) else None
-    out = [(r["lang"], share([r[f"c{i}"] for i in range(nc)]), share([r[f"w{i}"] for i in range(nw)])) for r in rows]
-    return [x for x in out if x[1] and x[2]]
+    total = {k: sum(F.col(c) for c in cs) for k, cs in names.items()}
+    return sums.where((total["rc"] > 0) & (total["rw"] > 0)).select("lang", *[F.array(*[F.col(c) / total[k] for c in cs]).alias(k) for k, cs in names.items()])
 
 
 def js_distance(counts: Column, reference: Column) -> Column:
@@ -144,30 +153,38 @@ def js_distance(counts: Column, reference: Column) -> Column:
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", base_failed: Column | None = None,
           max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, keep_text: bool = True) -> DataFrame:
-    """Add the base counts, js_chars, js_words, base_failed and kept to every row of ``docs``.
+    """Add the base counts, js_chars, js_words, base_failed and kept to every row of ``docs``; columns of these names are replaced.
 
     Counts and histograms are written to the shared folder, so that texts are read once for both references and verdicts.
     """
-    counted = histograms(base_counts(docs, text), text).drop("_words", *([] if keep_text else [text]))
-    hists = stored(counted, shared_folder(docs.sparkSession), "histograms")
-    refs = references(hists, lang)
+    own = [c for c in docs.columns if c not in RESULTS and (keep_text or c != text)]
+    work = docs.select(F.struct(F.lit(0), *own).alias("_row"), F.col(text).alias("_t"), F.col(lang).alias("_lang"))
+    folder = shared_folder(docs.sparkSession)
+    hists = stored(histograms(base_counts(work, "_t"), "_t").drop("_words", "_t").withColumn("_id", F.monotonically_increasing_id()), folder, "histograms")
+    refs = stored(references(hists, "_lang"), folder, "references")
+    judged = ["_row", *RESULTS[:7]]
+    long_enough = (F.col("word_chars") >= MIN_CHARS) & (F.col("n_words") >= MIN_WORDS)
+    own_refs = small(refs.withColumnRenamed("lang", "_lang"))
+    known = hists.where(F.col("_lang").isNotNull()).join(own_refs, "_lang", "left")
+    known = known.withColumns({"js_chars": F.when(long_enough, js_distance(F.col("_chars"), F.col("rc"))), "js_words": F.when(long_enough, js_distance(F.col("_common"), F.col("rw")))}).select(judged)
+    out = known.unionByName(_nearest(hists.where(F.col("_lang").isNull()), refs, long_enough).select(judged))
     failed = base_failed if base_failed is not None else (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    doubles = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    if not refs:
-        out = hists.withColumns({"js_chars": F.lit(None).cast("double"), "js_words": F.lit(None).cast("double")})
-    else:
-        known = F.coalesce(F.col(lang).isin([r[0] for r in refs]), F.lit(False))
-
-        def distance(counts: str, k: int) -> Column:
-            own = F.create_map(*[x for r in refs for x in (F.lit(r[0]), doubles(r[k]))])
-            every = F.array(*[doubles(r[k]) for r in refs])
-            return F.when(known, js_distance(F.col(counts), F.element_at(own, F.col(lang)))).otherwise(
-                F.array_min(F.transform(every, lambda q: js_distance(F.col(counts), q))))
-
-        long_enough = (F.col("word_chars") >= MIN_CHARS) & (F.col("n_words") >= MIN_WORDS)
-        out = hists.withColumns({"js_chars": F.when(long_enough, distance("_chars", 1)), "js_words": F.when(long_enough, distance("_common", 2))})
     far = F.coalesce(F.col("js_chars") > max_class_distance, F.lit(False)) | F.coalesce(F.col("js_words") > max_word_distance, F.lit(False))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~(F.col("base_failed") | far)).drop("_chars", "_common")
+    out = out.withColumn("base_failed", failed).withColumn("kept", ~(F.col("base_failed") | far))
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in own], *RESULTS)
+
+
+def _nearest(rows: DataFrame, refs: DataFrame, long_enough: Column) -> DataFrame:
+    """js_chars and js_words of rows without language: the least distances to any reference, block by block of ``BLOCK_LANGUAGES``."""
+    n_blocks = max(1, -(-refs.count() // BLOCK_LANGUAGES))
+    blocks = refs.groupBy(F.pmod(F.xxhash64("lang"), F.lit(n_blocks)).alias("block")).agg(F.collect_list("rc").alias("rcs"), F.collect_list("rw").alias("rws"))
+    least = lambda counts, all_: F.when(long_enough, F.array_min(F.transform(all_, lambda q: js_distance(F.col(counts), q))))
+    if n_blocks == 1:
+        met = rows.withColumn("block", F.lit(0).cast("long")).join(small(blocks), "block", "left")
+        return met.withColumns({"js_chars": least("_chars", F.col("rcs")), "js_words": least("_common", F.col("rws"))})
+    dealt = rows.select("_id", "_chars", "_common", "n_words", "word_chars", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"))
+    each = dealt.join(blocks, "block").select("_id", least("_chars", F.col("rcs")).alias("c"), least("_common", F.col("rws")).alias("w"))
+    return rows.join(each.groupBy("_id").agg(F.min("c").alias("js_chars"), F.min("w").alias("js_words")), "_id", "left")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
@@ -177,9 +194,8 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go."""
-    own = docs.columns
-    work = docs.select(F.struct(*own).alias("_row"), F.col("text").alias("_t"), F.col("lang").alias("_l"))
-    return judge(work, "_t", "_l", keep_text=False).where("kept").select("_row.*")
+    work = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").alias("t"), F.col("lang").alias("l"))
+    return judge(work, "t", "l", keep_text=False).where("kept").select("doc.*")
 
 
 def oracle() -> str:
