@@ -13,6 +13,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch while a table is stored.
+ARROW_ROWS = 1000
 _workspace: contextvars.ContextVar[str | None] = contextvars.ContextVar("workspace", default=None)
 
 
@@ -47,11 +49,24 @@ def workspace(spark: SparkSession) -> Iterator[str]:
         remove(spark, folder)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
+    """Meanwhile at most so many rows go to Python at once: whole texts are long rows, and each task holds a batch on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, folder: str, name: str, **options) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = f"{folder}/{name}"
     schema = df.schema
-    df.write.mode("overwrite").options(**options).parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.mode("overwrite").options(**options).parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 

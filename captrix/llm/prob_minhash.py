@@ -354,3 +354,16 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept, repeated = rows.join(small(gone), same, "left_anti"), small(twice)
     once = kept.join(repeated, same, "left_anti").select("row.*")
     return once.unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["d", "a", "b"]).select("row.*"))
+
+
+def oracle() -> str:
+    """SQL over all pairs of texts that share a shingle."""
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i + 1:i + {SHINGLE}], ' ') AS g FROM (SELECT *, unnest(range(0, greatest(len(ws) - {SHINGLE - 1}, 1))) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n u ON u.doc_id = x JOIN n v ON v.doc_id = y WHERE c::DOUBLE / (u.n + v.n - c) >= {SIMILARITY} UNION SELECT a.doc_id, b.doc_id FROM d a JOIN d b ON a.t = b.t AND a.doc_id <> b.doc_id),
+r AS (SELECT doc_id AS node, doc_id AS reached FROM d UNION SELECT r.node, e.y FROM r JOIN e ON r.reached = e.x)
+SELECT node AS doc_id, min(reached) AS class_id, node = min(reached) AS kept FROM r GROUP BY node
+"""
