@@ -17,6 +17,8 @@ QUERIES = {
     "op9_quality_divergence": quality_rules.op9,
 }
 ORACLES = {
+    "op3_suffix_dedup": suffix_dedup.oracle(),
+    "op6_prob_minhash": prob_minhash.oracle(),
     "op7_warc_members": warc_members.oracle(),
     "op4_line_spread": line_spread.oracle(),
     "op5_positional_index": positional_index.oracle(),

@@ -28,7 +28,7 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
+@pytest.mark.parametrize("hot", [1 << 20, 1500, 500, 0])
 def test_suffix_dedup(docs, empty, rows, folder, same, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     want = [(r[0], n, g, s, k) for r, (n, g, s, k) in zip(rows, brute_repeats([r[1] for r in rows], 400), strict=True)]
@@ -89,18 +89,67 @@ def test_near_duplicates(docs, empty, rows, folder):
 
 
 def test_a_large_group_of_near_copies(spark, folder):
-    rng = random.Random(9)
+    rows = group_of(150)
+    got = prob_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string"), folder)
+    assert {r["d"]: r["class"] for r in got.collect()} == brute_classes(rows)
+
+
+def group_of(n, seed=9):
+    """Near copies of one text with up to 12 changed words each, so that links and near links mix."""
+    rng = random.Random(seed)
     words = [f"w{i}" for i in range(3000)]
     base = [rng.choice(words) for _ in range(120)]
-    texts = []
-    for _ in range(150):
+    out = []
+    for i in range(n):
         t = list(base)
         for _ in range(rng.choice([0, 1, 2, 3, 4, 6])):
             t[rng.randrange(len(t))] = rng.choice(words)
-        texts.append(" ".join(t))
-    rows = [(i, t) for i, t in enumerate(texts)]
-    got = prob_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string"), folder)
-    assert {r["d"]: r["class"] for r in got.collect()} == brute_classes(rows)
+        out.append((i, " ".join(t)))
+    return out
+
+
+def test_joined_rows_follow_the_members_of_a_group(spark, folder, monkeypatch):
+    """Rows that reach verification at two sizes of one group of near copies."""
+    sizes = {}
+
+    def counted(df, where, name, **options):
+        out = stored(df, where, name, **options)
+        sizes[where][name] = out.count()
+        return out
+
+    stored = prob_minhash.stored
+    monkeypatch.setattr(prob_minhash, "stored", counted)
+    for n in (400, 2000):
+        sizes[f"{folder}-{n}"] = {}
+        found = prob_minhash.classes(spark.createDataFrame(group_of(n), "doc_id long, text string"), f"{folder}-{n}").collect()
+        assert 1 < len({r["class"] for r in found}) < n / 2
+    print(sizes)
+    small, large = sizes[f"{folder}-400"], sizes[f"{folder}-2000"]
+    for name in ("pairs", "stars", "lists", "heads", "rest"):
+        assert large[name] <= 5 ** 1.25 * max(small[name], 400), (name, small[name], large[name])
+
+
+def test_near_duplicate_query(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    assert {r["doc_id"]: (r["class_id"], r["kept"]) for r in prob_minhash.op6(spark, SF).collect()} == {i: (c, c == i) for i, c in brute_classes(rows).items()}
+
+
+def test_suffix_query(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.op3(spark, SF).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()}
+    assert got == {i: (n, g, s, hashlib.sha256(k).hexdigest()) for (i, _), (n, g, s, k) in zip(rows, brute_repeats([t for _, t in rows], 400), strict=True)}
+
+
+def test_suffix_dedup_of_long_texts(spark, folder, monkeypatch):
+    """Pieces end within repeats, a hot run of one byte, and a text that repeats itself."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    monkeypatch.setattr(suffix_dedup, "HOT", 1200)
+    rng = random.Random(4)
+    block = "".join(rng.choice("abcdé ") for _ in range(1500))
+    texts = [block + "x" * 900 + block, "y" + block[200:900] + "x" * 450, "z" * 399, "q".join([block[:401]] * 3)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in suffix_dedup.dedup(table, folder).select("d", "n_bytes", "n_removed", "n_spans", "kept").collect())
+    assert [(*r[:4], bytes(r[4])) for r in got] == [(i, *w) for i, w in enumerate(brute_repeats(texts, 400))]
 
 
 def test_near_duplicate_stage_keeps_one(spark, docs, rows):

@@ -1,7 +1,9 @@
 """Operators that take one text at a time."""
 
 import hashlib
+import html
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -85,8 +87,10 @@ def test_quality_counts(spark, docs, empty, rows, same):
     assert out.where("kept AND base_failed").count() == 0 and quality_rules.judge(empty).count() == 0
 
 
-def test_quality_long_texts_use_the_same_rule(spark, monkeypatch, docs, rows, same):
-    monkeypatch.setattr(quality_rules, "_BITS", 3)
+@pytest.mark.parametrize("bits", [3, 20, 60])
+def test_quality_long_texts_use_the_same_rule(spark, monkeypatch, docs, rows, same, bits):
+    """With 3 bits texts are too long for packed places; with 60, unequal windows share what is left of their hashes."""
+    monkeypatch.setattr(quality_rules, "_BITS", bits)
     same(quality_rules.base_counts(docs), ["doc_id", "n_repeat_words"], [(r[0], brute_quality(r[1])[4]) for r in rows])
 
 
@@ -101,7 +105,7 @@ def test_quality_rejects_odd_distributions(spark):
     assert not kept[100] and not kept[101] and not kept[102] and sum(kept[i] for i in range(40)) >= 39
 
 
-def test_line_spread(docs, empty, rows):
+def test_line_spread(docs, empty, rows, folder):
     def brute():
         sites, first = {}, {}
         for i, text, _, site, *_ in rows:
@@ -115,10 +119,10 @@ def test_line_spread(docs, empty, rows):
             out.append((i, "\n".join(kept)))
         return out
 
-    got = line_spread.spread_dedup(docs)
+    got = line_spread.spread_dedup(docs, folder).cache()
     assert sorted(map(repr, ((r["_row"]["doc_id"], r["body"]) for r in got.collect()))) == sorted(map(repr, brute()))
     assert got.agg(F.sum("n_removed")).first()[0] == 14
-    assert line_spread.spread_dedup(empty).count() == 0
+    assert line_spread.spread_dedup(empty, folder + "-e").count() == 0
     staged = line_spread.stage(docs.sparkSession, docs, "")
     assert staged.columns == docs.columns and staged.count() == len(rows) and staged.where("text IS NULL").count() == 1
 
@@ -208,8 +212,138 @@ def test_main_text(spark):
 
 
 def test_digests_of_queries(spark):
-    for name, f in (("op2", piece_codec.op2), ("op8", dac_tokens.op8)):
-        assert f(spark, "/root/testdata/sf0.001").count() > 0, name
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
+    lib = piece_codec.PieceCodec(piece_codec.default_model()).library
+    ids = {r["doc_id"]: lib.encode(r["text"] or "") for r in rows}
+    got = {r["doc_id"]: tuple(r)[1:] for r in piece_codec.op2(spark, "/root/testdata/sf0.001").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()}
+    assert got == {i: (len(x), sha(",".join(map(str, x))), sha(lib.decode(x))) for i, x in ids.items()}
+    words = dac_tokens.WordTokenizer(dac_tokens.default_tokenizer()).library
+    got = {r["doc_id"]: tuple(r)[1:] for r in dac_tokens.op8(spark, "/root/testdata/sf0.001").select("doc_id", "start", "n_tokens", "ids_crc32").collect()}
+    start = 0
+    for r in rows:
+        x = np.array(words.encode(r["text"] or "", add_special_tokens=False).ids + [1], "<u4")
+        assert got[r["doc_id"]] == (start, len(x), zlib.crc32(x.tobytes()))
+        start += len(x)
+    assert len(got) == len(rows)
+
+
+def test_dac_files_roll_and_add_up(spark, docs, rows, folder, monkeypatch):
+    """Many files a task, a group of one task each, and a text longer than a file."""
+    monkeypatch.setattr(dac_tokens, "FILE_IDS", 50)
+    monkeypatch.setattr(dac_tokens, "BATCH_ROWS", 3)
+    monkeypatch.setattr(dac_tokens, "GROUP", 1)
+    dac_tokens.write_files(docs, f"{folder}/t", partitions=5).write.parquet(f"{folder}/m")
+    manifest = spark.read.parquet(f"{folder}/m")
+    out = sorted((r["start"], r["n_tokens"]) for r in dac_tokens.read_documents(manifest).collect())
+    lib = dac_tokens.WordTokenizer(dac_tokens.default_tokenizer()).library
+    assert manifest.count() > 10 and len(out) == len(rows)
+    assert all(a + n == b for (a, n), (b, _) in zip(out, out[1:], strict=False)) and sum(out[-1]) == sum(len(lib.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in rows)
+
+
+def test_language_query(spark):
+    """The query itself on the table: the fold rule, ``und``, and accuracy on the fold that it did not learn from."""
+    sf = "/root/testdata/sf0.01"
+    truth = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = crf_language.op1(spark, sf).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(truth)
+    right = total = 0
+    for r in got:
+        own = truth[r["doc_id"]]
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1
+        assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in own["text"] or ""))
+        if r["held_out"] and own["lang"] and r["lang_pred"] != "und":
+            right, total = right + (own["lang"] == r["lang_pred"]), total + 1
+    assert total > 200 and right >= 0.98 * total
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    rows = [(i, f"wort{i} " * 9, f"l{i % 7}") for i in range(400)] + [(i, "x" * 90_000, None if i % 2 else "l0") for i in range(400, 420)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = crf_language.sample(table, docs_in_all=35)
+    counts = Counter(lang for _, lang in got)
+    assert len(counts) == 7 and set(counts.values()) == {5} and max(len(text) for text, _ in crf_language.sample(table)) == crf_language.SAMPLE_CHARS
+    with pytest.warns(UserWarning, match="not learned"):
+        assert len(crf_language.sample(table, docs_in_all=3)) == 3
+    many = crf_language.train([(f"aa{i}bb cc{i}dd\nee{i}ff", f"l{i:02}") for i in range(70)], rounds=3)
+    monkeypatch.setattr(crf_language, "CELLS", 140)
+    assert len(many.label([crf_language.words_of("aa b"), [], crf_language.words_of("aa bb cc dd ee")])) == 3
+
+
+def test_quality_nearest_reference_in_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    words = "the of and to der die und das le la les et el los y que house water stein fluss".split()
+    rows = [(i, " ".join(rng.choice(words[4 * (i % 4) :]) for _ in range(100)), f"l{i % 9}" if i % 3 else None) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    key = lambda df: sorted((r["doc_id"], r["js_chars"], r["js_words"], r["kept"]) for r in df.collect())
+    one = key(quality_rules.judge(table))
+    monkeypatch.setattr(quality_rules, "BLOCK_LANGUAGES", 2)
+    assert key(quality_rules.judge(table)) == one and all(r[1] is not None for r in one)
+
+
+def brute_surges(plain, window, surge):
+    high = [sum(plain[i : i + window]) for i in range(len(plain))]
+    out, i = [], 0
+    while i < len(plain):
+        if high[i] >= surge:
+            stop = next((j for j in range(i, len(plain)) if not high[j]), len(plain))
+            out.append((next(j for j in range(i, stop) if plain[j]), stop))
+            i = stop
+        else:
+            i += 1
+    return out
+
+
+def test_surges_by_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(500):
+        plain = (rng.integers(0, 60, rng.integers(0, 30)) * (rng.random() < rng.random(1)[0])).tolist()
+        plain = [x if rng.random() < 0.6 else 0 for x in plain]
+        window, surge = int(rng.integers(1, 5)), int(rng.integers(1, 120))
+        assert main_text.surges(plain, window, surge) == brute_surges(plain, window, surge)
+
+
+LONG = ("long words of the page " * 8).strip()
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<h1>T</h1><p>Short.</p><p>{LONG}</p>", f"T\nShort.\n{LONG}"),
+    (f"<div>Home</div><div>{LONG}</div>", LONG),
+    (f"<article><h1>A</h1><p>tiny</p></article><article><p>{LONG}</p></article>", f"A\ntiny\n{LONG}"),
+    (f"<article><p>{LONG}</p><p class='cookie-notice'>cookies</p><ul><li class=share>share<li>kept</ul><p>x</p></article>", f"{LONG}\nkept\nx"),
+    (f"<div class='page has-sidebar'><article><p>{LONG}</p></article><div class=sidebar>side</div></div>", LONG),
+    (f"<ul><li><a href=x>Home</a><li><a href=y>News</a><li><a href=z>About us all</a></ul><h2>T</h2><div>By X</div><p>{LONG}</p><p>The end.</p><ul><li><a href=x>Imprint and so on</a></ul>", f"T\nBy X\n{LONG}\nThe end."),
+    (f"<p>{LONG}</p><br><br><br><div><a href=a>one</a></div><div><a href=b>two</a></div><div><a href=c>three</a></div><p>{LONG}</p>", f"{LONG}\n{LONG}"),
+    (f"<table><tr><td class='ad'>buy<td>{LONG}<tr><td>c, and so on.</table>", f"{LONG}\nc, and so on."),
+    (f"<p>a <script>x</script>b <svg><p>no</p></svg>c &lt;b&gt; &amp;amp;</p><p>{LONG}", f"a b c <b> &amp;\n{LONG}"),
+    (f"<main><p>{LONG}</p></main><article class='comment'><p>{LONG}</p></article>", LONG),
+    ("x < y and <b>z", "x < y and z"), ("<div", "<div"),
+])
+def test_main_text_without_marked_articles(page, want):
+    assert main_text.main_text(page) == want
+
+
+def test_windows_decide_where_no_article_is_marked(spark):
+    """On pages whose article tags are taken away, the windows find the article's text; other windows find other text."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    bare = [re.sub(r"</?article>", lambda m: m[0].replace("article", "div"), p) for p in pages]
+    assert all(main_text.main_text(p) == main_text.main_text(q) for p, q in zip(pages, bare, strict=True))
+    page = f"<div><p>Some forty characters of a lone line.</p><br><br><br><br><p>{LONG}</p></div>"
+    assert main_text.main_text(page) == LONG != main_text.main_text(page, surge=30) and main_text.main_text(page, window=6).startswith("Some")
+    got = {r["page_id"]: r for r in main_text.op10(spark, "/root/testdata/sf0.001").collect()}
+    table = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    for r in table:  # by hand: the blocks of the one article
+        inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h\d|br|div|ul|li|ol|blockquote)\b[^>]*>", inner)]
+        assert got[r["page_id"]]["text"] == "\n".join(b for b in blocks if b) and got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"])
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<a ", '<a =">"', '<a ="> "', "<!--", "<p>", "</b></p>", "<a ='>\" ", '<div class="', "<article>", "<main>", "<script>", "<li><ul><b></li>", "<a<", "&amp"])
+def test_broken_pages_take_linear_time(piece):
+    began = time.time()
+    main_text.main_text(piece * (1_000_000 // len(piece)) + "> '\" >")
+    assert time.time() - began < 20
 
 
 def test_main_text_of_nested_blocks_without_article():
