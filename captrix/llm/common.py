@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch while a table is stored.
+#: Rows of an Arrow batch under ``small_batches``.
 ARROW_ROWS = 1000
 _workspace: contextvars.ContextVar[str | None] = contextvars.ContextVar("workspace", default=None)
 
@@ -65,8 +65,7 @@ def stored(df: DataFrame, folder: str, name: str, **options) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = f"{folder}/{name}"
     schema = df.schema
-    with small_batches(df.sparkSession):
-        df.write.mode("overwrite").options(**options).parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 

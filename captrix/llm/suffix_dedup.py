@@ -29,7 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from captrix.llm.common import read, shared_folder, stored
+from captrix.llm import common
+from captrix.llm.common import read, shared_folder, small_batches
 from captrix.llm.induced_sort import MEMORY, repeated, scratch
 from captrix.llm.positional_index import small
 
@@ -46,6 +47,12 @@ _SPAN = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.Struct
 _ARROW_SPAN = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))
 
 
+def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """As ``common.stored``, in small Arrow batches: texts and bodies are long rows."""
+    with small_batches(df.sparkSession):
+        return common.stored(df, folder, name)
+
+
 @functools.lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.ones(n, np.uint64), np.ones(n, np.uint64)
